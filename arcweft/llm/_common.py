@@ -17,12 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; only where there is none, one of our own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="arcweft-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share, and read it from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="arcweft-checkpoint-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sentencepieces, token_counts
+from . import (
+    exact_dedup,
+    html_text,
+    licenses,
+    line_crf,
+    mixing,
+    near_dedup,
+    quality_rules,
+    sentencepieces,
+    token_counts,
+    toxicity,
+)
 from ._common import table
 
 
@@ -21,6 +33,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(table(spark, sf_dir, "documents"), 3, Fraction(85, 100))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -38,9 +74,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op8_sentencepiece, op9_token_counts, op10_exact_dedup)
-    return {f.__name__: f for f in own}
+    own = (
+        op1_mix_sources,
+        op2_html_text,
+        op3_quality_rules,
+        op4_license_scan,
+        op5_quality_crf,
+        op6_minhash_near_dedup,
+        op7_toxicity,
+        op8_sentencepiece,
+        op9_token_counts,
+        op10_exact_dedup,
+    )
+    return {**{f.__name__: f for f in own}, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op6_minhash_near_dedup": near_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
