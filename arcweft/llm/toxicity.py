@@ -12,7 +12,7 @@ Counting covers every labelled training row, on the executors.  N-grams are numb
 of ``BITS`` bits, so the tables have a fixed size, may be gathered and broadcast, and merge the
 few n-grams that share a number.
 
-Words are what the six ASCII white space characters separate, lower-cased.
+Words are runs of ASCII digits and letters and of characters beyond ASCII, lower-cased.
 
 Cases: a text without words (null, empty, white space) gets the share of toxic labels; without
 labels of both kinds every score is that share, or 0 without any; repeated rows are scored
@@ -33,10 +33,10 @@ from pyspark.sql import types as T
 
 from ._common import crc_of, labelled_sample, map_texts, slices
 
-ORDER = 5
-BITS = 19
+ORDER = 6
+BITS = 20
 SIZE = 1 << BITS
-DISCOUNT = 0.75
+DISCOUNT = 0.95
 #: Part of a toxic document's words that the toxic model accounts for.
 SHARE = 0.02
 #: Words that are added to a document's length, so that one odd word of a short text says little.
@@ -48,63 +48,68 @@ BROADCAST_LABELS = 2_000_000
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 GRAM = T.StructType(
-    [T.StructField(c, T.IntegerType()) for c in ("k", "gram", "ctx", "suffix")]
+    [T.StructField("bucket", T.IntegerType()), T.StructField("gram", T.StringType())]
     + [T.StructField(c, T.LongType()) for c in ("toxic", "ordinary")]
 )
 
 
+_LETTERS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
+    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+
 
+def number(gram: np.ndarray, char: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Extend hashes of (k - 1)-grams by the character before them; the hashes and their numbers."""
+    h = (gram ^ (char.astype(np.uint64) + np.uint64(k))) * _C1
+    h ^= h >> np.uint64(31)
+    return h, ((h * _C2) >> np.uint64(64 - BITS)).astype(np.int64)
 
-def buckets(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+
+def buckets(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the n-grams of orders 1 to ORDER that end at each place of the padded words.
 
-    Also returns the places that are scored (a word's characters and its end), and the word of
-    each.
+    Also returns the places that are scored (a word's characters and its end), the word of
+    each, and the characters.
     """
     pad, end = "\x02" * (ORDER - 1), "\x03"
     texts = [w.decode("utf-8", "surrogatepass") for w in words]
-    flat = np.frombuffer("".join([pad + t + end for t in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    flat = np.frombuffer("".join([pad + t + end for t in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     starts = np.r_[0, np.cumsum(sizes + ORDER - 1)[:-1]]
     word = np.repeat(np.arange(len(words)), sizes)
     at = np.repeat(starts + ORDER - 1 - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-    found = []
-    h = np.zeros(len(flat), dtype=np.uint64)
+    found, h = [], np.zeros(len(flat), dtype=np.uint64)
     for k in range(1, ORDER + 1):
-        c = flat if k == 1 else np.r_[np.zeros(k - 1, dtype=np.uint64), flat[: 1 - k]]
-        h = (h ^ (c + np.uint64(k))) * _C1
-        h ^= h >> np.uint64(31)
-        found.append(((h * _C2) >> np.uint64(64 - BITS)).astype(np.int64))
-    return found, at, word
+        before = flat if k == 1 else np.r_[np.zeros(k - 1, dtype=flat.dtype), flat[: 1 - k]]
+        h, bucket = number(h, before, k)
+        found.append(bucket)
+    return found, at, word, flat
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task has seen: n-grams of orders 2 up, and how often each class has the highest."""
-    seen = {k: np.zeros(SIZE, dtype=bool) for k in range(2, ORDER + 1)}
-    ctx = {k: np.zeros(SIZE, dtype=np.int32) for k in seen}
-    suffix = {k: np.zeros(SIZE, dtype=np.int32) for k in seen}
+    """What a task has seen: an n-gram of each number, and how often each class has it."""
     often = np.zeros((2, SIZE), dtype=np.int64)
+    shown = np.zeros((SIZE, ORDER), dtype=np.uint32)
     for batch in batches:
         for part in slices(batch, "text"):
-            labels = part.column("y").to_pylist()
+            texts, labels = part.column("text").to_pylist(), part.column("y").to_pylist()
             for y in (0, 1):
-                words = Counter(w for t, label in zip(part.column("text").to_pylist(), labels, strict=True) if label == y for w in words_of(t or ""))
+                words = Counter(w for t, label in zip(texts, labels, strict=True) if label == y for w in words_of(t or ""))
                 if not words:
                     continue
-                found, at, word = buckets(list(words))
-                for k in seen:
-                    g = found[k - 1][at]
-                    seen[k][g] = True
-                    ctx[k][g], suffix[k][g] = found[k - 2][at - 1], found[k - 2][at]
+                found, at, word, flat = buckets(list(words))
                 weight = np.fromiter(words.values(), dtype=np.int64, count=len(words))[word]
                 often[y] += np.bincount(found[-1][at], weights=weight, minlength=SIZE).astype(np.int64)
-    for k in seen:
-        g = np.flatnonzero(seen[k])
-        top = [often[y][g] if k == ORDER else np.zeros(len(g), dtype=np.int64) for y in (1, 0)]
-        columns = [np.full(len(g), k, dtype=np.int32), g.astype(np.int32), ctx[k][g], suffix[k][g], *top]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=GRAM.names)
+                g, first = np.unique(found[-1][at], return_index=True)
+                shown[g] = flat[at[first][:, None] + np.arange(1 - ORDER, 1)]
+    every = np.flatnonzero(often.any(axis=0))
+    for g in np.array_split(every, max(1, len(every) // 50_000)):
+        grams = shown[g].tobytes().decode("utf-32-le", "surrogatepass")
+        grams = [grams[i : i + ORDER] for i in range(0, len(grams), ORDER)]
+        columns = [pa.array(g.astype(np.int32)), pa.array(grams, pa.string()), pa.array(often[1][g]), pa.array(often[0][g])]
+        yield pa.RecordBatch.from_arrays(columns, names=GRAM.names)
 
 
 @dataclass
@@ -121,7 +126,7 @@ class Model:
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """log of ((1 - SHARE) P(ordinary) + SHARE P(toxic)) / P(ordinary) of each word."""
-        found, at, word = buckets(words)
+        found, at, word, _ = buckets(words)
         shared = self.single[found[0][at]].astype(np.float64)
         for k in range(2, ORDER):
             more, of, kinds = self.lower[k - 2]
@@ -172,27 +177,31 @@ class Scorer:
         return np.where(np.isnan(d), self.model.share, 1 / (1 + np.exp(-z)))
 
 
-def build(grams: pa.Table) -> Model:
-    """Tables from the gathered n-grams; sums over contexts and suffixes."""
-    columns = {c: grams.column(c).to_numpy() for c in grams.column_names}
-    top, ctx, kinds = (np.zeros((2, SIZE), dtype=np.float32) for _ in range(3))
-    lower: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    more: dict[int, np.ndarray] = {}
+def build(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+    """Tables from the gathered n-grams.  Their ends and beginnings are all n-grams of lower orders."""
+    chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, ORDER)
+    zero = np.zeros(len(chars), dtype=np.uint64)
+    ends, contexts = [], []
+    h, c = zero, zero
+    for k in range(1, ORDER + 1):
+        h, bucket = number(h, chars[:, ORDER - k], k)
+        ends.append(bucket)
+        if k < ORDER:
+            c, bucket = number(c, chars[:, ORDER - 1 - k], k)
+            contexts.append(bucket)
+    count = lambda at, n=None: np.bincount(at, weights=n, minlength=SIZE).astype(np.float32)
+    by_class = (toxic, ordinary)
+    top = np.stack([count(ends[-1], n) for n in by_class])
+    ctx = np.stack([count(contexts[-1], n) for n in by_class])
+    kinds = np.stack([count(contexts[-1][n > 0]) for n in by_class])
+    lower, more = [], np.zeros(0)
     for k in range(ORDER, 1, -1):
-        at = columns["k"] == k
-        g, h = columns["gram"][at], columns["ctx"][at]
-        more[k - 1] = np.bincount(columns["suffix"][at], minlength=SIZE).astype(np.float32)
-        if k == ORDER:
-            for y, name in ((0, "toxic"), (1, "ordinary")):
-                n = columns[name][at]
-                top[y][g] = n
-                ctx[y] = np.bincount(h, weights=n, minlength=SIZE)
-                kinds[y] = np.bincount(h[n > 0], minlength=SIZE)
-        else:
-            of = np.bincount(h, weights=more[k][g], minlength=SIZE).astype(np.float32)
-            lower.append((more[k], of, np.bincount(h, minlength=SIZE).astype(np.float32)))
-    single = (more[1] + 0.5) / (more[1].sum() + 0.5 * SIZE)
-    return Model(top, ctx, kinds, lower[::-1], single)
+        _, first = np.unique(ends[k - 1], return_index=True)
+        if k < ORDER:
+            h = contexts[k - 2][first]
+            lower.append((more, count(h, more[ends[k - 1][first]]), count(h)))
+        more = count(ends[k - 2][first])  # in how many contexts each (k - 1)-gram occurs
+    return Model(top, ctx, kinds, lower[::-1], (more + 0.5) / (more.sum() + 0.5 * SIZE))
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -216,9 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, count_on: Column, curve_on: Column,
     counted = marked.where(count_on)
     small = counted.count() <= BROADCAST_LABELS
     rows = docs.select("doc_id", "text").join(F.broadcast(counted) if small else counted, "doc_id").select("text", "y")
-    grams = rows.mapInArrow(count_grams, GRAM).groupBy("k", "gram")
-    grams = grams.agg(F.max("ctx").alias("ctx"), F.max("suffix").alias("suffix"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    model = build(grams.toArrow())  # at most (ORDER - 1) * SIZE rows
+    grams = rows.mapInArrow(count_grams, GRAM).groupBy("bucket")
+    grams = grams.agg(F.max("gram").alias("gram"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = grams.drop("bucket").toArrow()  # at most SIZE rows
+    model = build(found["gram"].to_pylist(), found["toxic"].to_numpy(), found["ordinary"].to_numpy())
     found = labelled_sample(docs, labels, "toxic", sample, curve_on)
     shared = spark.sparkContext.broadcast(model)  # tables of a fixed size
     schema = T.StructType([T.StructField("d", T.DoubleType())])
