@@ -44,16 +44,17 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
     least = max(HOT_LEAST, docs.count() // (HOT_SHARE * parts))
     hot = cut(rows.groupBy("h").count().where(F.col("count") >= least).select("h", F.lit(True).alias("hot")))
     any_hot = hot.count() > 0  # at most HOT_SHARE * parts rows
-    salt = F.lit(0)
+    rows = rows.withColumn("p", F.substring("t", 1, PREFIX))
+    keys = ["p", "h"]  # a constant salt would be folded away, and with it the match of the partitioning
     if any_hot:
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
-        rows = rows.join(F.broadcast(hot), "h", "left")
-    rows = rows.withColumn("p", F.substring("t", 1, PREFIX)).withColumn("salt", salt.cast("int"))
+        rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", salt.cast("int"))
+        keys.append("salt")
 
-    near = Window.partitionBy("p", "h", "salt", "t").orderBy(F.col("id").desc_nulls_last())
+    near = Window.partitionBy(*keys, "t").orderBy(F.col("id").desc_nulls_last())
     whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = (
-        rows.repartitionByRange("p", "h", "salt")
+        rows.repartitionByRange(*keys)
         .withColumn("keep_id", F.first("id").over(whole))
         .withColumn("group_size", F.count(F.lit(1)).over(whole))
         .withColumn("nth", F.row_number().over(near))
