@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -121,13 +121,29 @@ class Model:
     kinds: np.ndarray  # how many different characters follow these contexts
     lower: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # orders 2 to ORDER - 1: continuations, of contexts, kinds
     single: np.ndarray
+    total: float
     curve: tuple[float, float] = (0.0, 0.0)
     share: float = 0.0
 
+    def packed(self) -> Model:
+        """The same with each table as the places and values that aren't zero, to send it."""
+        pack = lambda a: (np.flatnonzero(a).astype(np.int32), a[a != 0].astype(np.float32))
+        two = lambda t: [pack(a) for a in t]
+        return replace(self, top=two(self.top), ctx=two(self.ctx), kinds=two(self.kinds), lower=[two(x) for x in self.lower], single=pack(self.single))
+
+    def unpacked(self) -> Model:
+        def fill(p: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+            out = np.zeros(SIZE, dtype=np.float32)
+            out[p[0]] = p[1]
+            return out
+
+        two = lambda t: [fill(p) for p in t]
+        return replace(self, top=two(self.top), ctx=two(self.ctx), kinds=two(self.kinds), lower=[two(x) for x in self.lower], single=fill(self.single))
+
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """log of ((1 - SHARE) P(ordinary) + SHARE P(toxic)) / P(ordinary) of each word."""
         found, at, word, _ = buckets(words)
-        shared = self.single[found[0][at]].astype(np.float64)
+        shared = (self.single[found[0][at]] + 0.5) / self.total
         for k in range(2, ORDER):
             more, of, kinds = self.lower[k - 2]
             g, h = found[k - 1][at], found[k - 2][at - 1]
@@ -201,7 +217,7 @@ def build(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
             h = contexts[k - 2][first]
             lower.append((more, count(h, more[ends[k - 1][first]]), count(h)))
         more = count(ends[k - 2][first])  # in how many contexts each (k - 1)-gram occurs
-    return Model(top, ctx, kinds, lower[::-1], (more + 0.5) / (more.sum() + 0.5 * SIZE))
+    return Model(top, ctx, kinds, lower[::-1], more, float(more.sum()) + 0.5 * SIZE)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -230,15 +246,16 @@ def fit(docs: DataFrame, labels: DataFrame, count_on: Column, curve_on: Column,
     found = grams.drop("bucket").toArrow()  # at most SIZE rows
     model = build(found["gram"].to_pylist(), found["toxic"].to_numpy(), found["ordinary"].to_numpy())
     found = labelled_sample(docs, labels, "toxic", sample, curve_on)
-    shared = spark.sparkContext.broadcast(model)  # tables of a fixed size
+    shared = spark.sparkContext.broadcast(model.packed())  # at most SIZE entries a table
     schema = T.StructType([T.StructField("d", T.DoubleType())])
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value.unpacked())
         return lambda texts: [pa.array(scorer.differences(texts), pa.float64())]
 
     scored, s = map_texts(found, "text", schema, make, keep=["doc_id", "y"])
     scored = scored.select("doc_id", "y", f"{s}.d").toPandas().sort_values("doc_id")
+    shared.destroy()
     y, d = scored["y"].to_numpy(dtype=float), scored["d"].to_numpy(dtype=float)
     share = float(y.mean()) if len(y) else 0.0
     full = ~np.isnan(d)
@@ -253,11 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, count_on: Column, curve_on: Column,
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: its score, from models that never saw held-out labels."""
     part = crc_of("doc_id") % 5
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, part.isin(1, 2, 3), part == 4))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, part.isin(1, 2, 3), part == 4).packed())
     schema = T.StructType([T.StructField("score", T.DoubleType())])
 
     def make():
-        scorer = Scorer(model.value)
+        scorer = Scorer(model.value.unpacked())
         return lambda texts: [pa.array(scorer.scores(texts), pa.float64())]
 
     rows, s = map_texts(docs, "text", schema, make, keep=["doc_id"])
