@@ -9,11 +9,13 @@ so in some chunk the two differ in one symbol at most; each chunk is indexed onc
 its symbols with that symbol left out, which enumerates the allowed error.  ``T`` is the least
 distance beyond which a pair at the similarity threshold falls with a chance under ``MISS``.
 
-Buckets are never expanded into all pairs.  First each bucket's smallest member is compared
-with the others, and what links is joined into components.  Then only members outside the
-largest component of their bucket are compared with the members of other components, so
-every pair that could still join two components is looked at, and none within one.  A
-distance up to ``T`` makes a pair a candidate; the full sets of both decide.
+Buckets are never expanded into all pairs.  Each bucket's smallest member is compared with the
+others, and what links is joined into components.  Only buckets that still hold several
+components need more.  For their members an exact prefix join follows: shingles are ordered by
+how many of these members have them, the rarest first, and two sets that are similar enough
+share one of the first few, at places that leave room for the overlap they need.  So every pair
+that could still join two components is looked at, few others are, and none within a component.
+A distance up to ``T`` or a shared prefix makes a pair a candidate; the full sets decide.
 
 Cases: a null or empty text, or one of white space alone, has an empty set and links with
 nothing; with fewer than ``width`` words the whole sequence is one shingle; repeated rows get
@@ -31,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,10 +184,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, text: str, id_col: str)
     return rows.select("node", f"{s}.hashes")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: Fraction, text: str, id_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(sets_of(docs, ids, width, text, id_col))
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -194,6 +194,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: Fraction
     return both.where(close).select("a", "b").distinct()
 
 
+def prefix_pairs(sets: DataFrame, parts: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): pairs of different components that may be similar enough.
+
+    ``sets`` are (node, hashes) and ``parts`` (node, component).  Two sets of sizes p and q need
+    t / (1 + t) * (p + q) shingles in common.  In the order of all shingles by their number of
+    holders, the first one that both have must leave so many places after it in both.  Shingles
+    with one holder only take places.
+    """
+    up, down = threshold.numerator, threshold.numerator + threshold.denominator
+    every = sets.select("node", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("shingle"))
+    holders = every.groupBy("shingle").count().where(F.col("count") > 1).select("shingle", F.col("count").alias("held"))
+    own = Window.partitionBy("node")
+    shared = every.join(holders, "shingle").withColumn("nth", F.row_number().over(own.orderBy("held", "shingle")))
+    shared = shared.withColumn("after", F.count(F.lit(1)).over(own) - F.col("nth") + 1)  # places from this one on
+    first = shared.where(F.col("after") * threshold.denominator >= F.col("n") * threshold.numerator)
+    first = cut(first.join(parts, "node").select("shingle", "node", "n", "after", "component"))
+    x, y = first.alias("x"), first.alias("y")
+    need = (F.col("x.n") + F.col("y.n")) * up
+    apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    room = (F.col("x.after") * down >= need) & (F.col("y.after") * down >= need)
+    return x.join(y, apart & room).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_groups(
     docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
@@ -214,28 +237,18 @@ def near_groups(
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("p")), "a")
     pairs = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("q")), "b")
     pairs = cut(pairs.where(distance("p", "q") <= t).select("a", "b").distinct())
-    links = cut(confirmed(pairs, docs, width, threshold, text, id_col))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = cut(confirmed(pairs, cut(sets_of(docs, ids, width, text, id_col)), threshold))
     comps = cut(components(links))
 
-    # members that are still apart from the largest component of their bucket
-    placed = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.select("key", "node", "component")
-    sizes = placed.groupBy("key", "component").count()
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("n > 1").select("key", F.col("top.component").alias("largest"))
-    apart = placed.join(mixed, "key").join(sig, "node")
-    apart = cut(apart.select("key", "node", "component", "sig", (F.col("component") != F.col("largest")).alias("minor")))
-    x, y = apart.where("minor").alias("x"), apart.alias("y")
-    rest = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (~F.col("y.minor") | (F.col("x.node") < F.col("y.node")))
-        & (distance("x.sig", "y.sig") <= t),
-    )
-    rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    if rest.limit(1).count():
-        found = confirmed(rest, docs, width, threshold, text, id_col)
+    # buckets of several components
+    entries = members.select("key", "node").unionAll(members.select("key", F.col("hub").alias("node")).distinct())
+    placed = entries.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    parts = cut(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
+    if not parts.isEmpty():
+        sets = cut(sets_of(docs, parts.select("node"), width, text, id_col))
+        found = confirmed(cut(prefix_pairs(sets, parts, threshold)), sets, threshold)
         comps = cut(components(links.unionByName(found)))
 
     classes = nodes.select("digest", F.col("node").alias("least"))
