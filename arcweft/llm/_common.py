@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut, shared_dir
+
+__all__ = ["WORD", "crc_of", "cut", "fresh", "labelled_sample", "map_texts", "shared_dir", "slices", "table"]
+
 #: A word is a run of characters other than the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,21 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where there is none, one of our own."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="arcweft-checkpoint-"))
-    return named or context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share, and read it from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores added until no column in ``taken`` has it."""
     seen = {c.lower() for c in taken}

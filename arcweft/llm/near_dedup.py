@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, map_texts
+from ._common import cut, fresh, map_texts
 from .components import components
 
 SYMBOLS = 36
@@ -269,10 +269,11 @@ def drop_near(
     docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """The documents that are the smallest id of their component, with all columns."""
-    gone = near_groups(docs, width, threshold, text, id_col).where("id != component_id").select("id").distinct()
-    gone = cut(gone)
+    name = fresh("gone", docs.columns)
+    gone = near_groups(docs, width, threshold, text, id_col).where("id != component_id")
+    gone = cut(gone.select(F.col("id").alias(name)).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col] == F.col("id"), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 ORACLE = """
