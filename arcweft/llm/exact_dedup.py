@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, fresh
 
 #: A text is hot from this part of a partition's mean number of rows on.
 HOT_SHARE = 4
@@ -37,7 +37,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
     ``group_size``, ``kept`` and ``sha``."""
     session = docs.sparkSession
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    rest = F.struct(F.col(f"`{text}`").isNull().alias("no_text"), *[F.col(f"`{c}`") for c in carry or []])
+    rest = F.struct(F.col(f"`{text}`").isNull().alias(fresh("no_text", carry or [])), *[F.col(f"`{c}`") for c in carry or []])
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), rest.alias("rest"))
     rows = rows.withColumn("h", F.xxhash64("t"))
 
@@ -87,7 +87,8 @@ def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """The rows that stay, with the columns of ``docs``."""
     carry = [c for c in docs.columns if c not in (text, id_col)]
     rows = exact_groups(docs, text, id_col, carry).where("kept")
-    back = {id_col: F.col("id"), text: F.when(~F.col("rest.no_text"), F.col("t"))}
+    null = F.col("rest." + fresh("no_text", carry))
+    back = {id_col: F.col("id"), text: F.when(~null, F.col("t"))}
     return rows.select(*[back.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 

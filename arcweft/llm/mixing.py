@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut
+from ._common import WORD, cut, fresh
 
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
@@ -75,7 +75,7 @@ def mix(
     seed: str = SEED,
 ) -> DataFrame:
     """(id, source, size, row: struct of ``carry``, source_size, target, copies) of every document."""
-    row = F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`") for c in carry or []]).alias("row")
+    row = F.struct(F.lit(1).alias(fresh("one", carry or [])), *[F.col(f"`{c}`") for c in carry or []]).alias("row")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), size.alias("size"), row)
     if not carry:
         rows = cut(rows)  # narrow; the words are counted once

@@ -47,6 +47,8 @@ def test_exact_keeps_columns(spark):
     left = exact_dedup.drop_copies(rows)
     assert left.columns == rows.columns
     assert sorted(tuple(r) for r in left.collect()) == [(2, "", 6, None), (3, "z", 7, "h")]
+    odd = rows.withColumnRenamed("kept", "no_text").withColumnRenamed("h", "rest")
+    assert exact_dedup.drop_copies(odd).columns == odd.columns and exact_dedup.drop_copies(odd).count() == 2
     assert exact_dedup.report(rows.limit(0)).isEmpty() and exact_dedup.drop_copies(rows.limit(0)).isEmpty()
 
 
@@ -198,6 +200,6 @@ def test_mixture_repeats_documents(spark):
     copies = {r.doc_id: r.taken // r.size for r in mixing.report(frame).collect()}
     assert counts == {k: n for k, n in copies.items() if n}
     assert mixing.mixture(frame.limit(0)).isEmpty() and mixing.report(frame.limit(0)).isEmpty()
-    clash = frame.withColumn("copies", frame.doc_id).withColumn("size", frame.lang)
+    clash = frame.withColumn("copies", frame.doc_id).withColumn("size", frame.lang).withColumn("one", frame.text)
     assert mixing.mixture(clash).columns == clash.columns
     assert {r.taken for r in mixing.report(docs(spark, [(1, None, None), (2, "  ", "a")])).collect()} == {0}
