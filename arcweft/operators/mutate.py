@@ -244,9 +244,15 @@ def add_rel_frame(graph: PropertyGraph, type: str, frame: DataFrame) -> Property
     return replace(graph, rels={**graph.rels, type: fresh})
 
 
-def update_relationships(graph: PropertyGraph, ids: Iterable[str], props: Props) -> PropertyGraph:
-    few = list(ids)
-    rels = {n: replace(t, frame=_set(t.frame, props, F.col("rel_id").isin(few))) for n, t in graph.rels.items()}
+def update_relationships(graph: PropertyGraph, ids: DataFrame | Iterable[str], props: Props) -> PropertyGraph:
+    """Merge properties into the relationships with these ids."""
+    if not isinstance(ids, DataFrame):
+        few = list(ids)
+        return replace(graph, rels={n: replace(t, frame=_set(t.frame, props, F.col("rel_id").isin(few))) for n, t in graph.rels.items()})
+    hit, rels = ids.select(F.col("rel_id").alias("hit_id")).distinct(), {}
+    for n, t in graph.rels.items():
+        rows = t.frame.join(hit, F.col("rel_id") == F.col("hit_id"), "left")
+        rels[n] = replace(t, frame=_set(rows, props, F.col("hit_id").isNotNull()).drop("hit_id"))
     return replace(graph, rels=rels)
 
 

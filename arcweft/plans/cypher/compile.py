@@ -9,7 +9,7 @@ build sides and strategies at run time.  A variable that occurs twice is the sam
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -179,11 +179,13 @@ def _aggregate(plan: Plan, rows: DataFrame, item: Item) -> Column:
 
 def _match(graph: PropertyGraph, query: str, q: Match) -> Result:
     plan = Plan(graph, query, q.pattern, q.where)
-    if q.sets or q.deletes:
-        return _change(graph, plan, q)
+    items = q.items or tuple(Item(v, None, v) for _, v in plan.order if not v.startswith("_"))
+    if not items:
+        plan.refuse("there is nothing to return")
+    items = tuple(dict.fromkeys(items)) if not q.items else items
     used: dict[str, list[str]] = {}
     whole: set[str] = set()
-    for item in q.items:
+    for item in items:
         if item.variable is None:
             continue
         plan.known(item.variable)
@@ -191,29 +193,35 @@ def _match(graph: PropertyGraph, query: str, q: Match) -> Result:
             used.setdefault(item.variable, []).append(item.prop)
         elif item.aggregate is None:
             whole.add(item.variable)
-    aliases = [i.alias for i in q.items]
+    aliases = [i.alias for i in items]
     if len(set(aliases)) < len(aliases):
         plan.refuse("two items have one name")
     extra = {}
     for o in q.order:
         if o.name not in aliases:
             variable, _, prop = o.name.partition(".")
-            if not prop or any(i.aggregate for i in q.items) or q.distinct:
+            if not prop or any(i.aggregate for i in items) or q.distinct:
                 plan.refuse(f"can't order by {o.name!r}")
             plan.known(variable)
             used.setdefault(variable, []).append(prop)
             extra[o.name] = (variable, prop)
     rows = plan.rows(used, whole)
+    if q.sets or q.deletes:
+        graph = _change(graph, plan, q, rows)
+    for v, prop, value in q.sets:  # rows show what was set
+        if v in whole or prop in used.get(v, []):
+            new = F.array(*map(F.lit, value)) if isinstance(value, (list, tuple)) else F.lit(value)
+            rows = rows.withColumn(f"{v}/{prop}", new)
 
     def shown(i: Item) -> Column:
         return plan.value(rows, i.variable) if i.prop is None else plan.column(rows, i.variable, i.prop)
 
-    if any(i.aggregate for i in q.items):
-        keys = [shown(i).alias(i.alias) for i in q.items if not i.aggregate]
-        out = rows.groupBy(*keys).agg(*[_aggregate(plan, rows, i).alias(i.alias) for i in q.items if i.aggregate])
+    if any(i.aggregate for i in items):
+        keys = [shown(i).alias(i.alias) for i in items if not i.aggregate]
+        out = rows.groupBy(*keys).agg(*[_aggregate(plan, rows, i).alias(i.alias) for i in items if i.aggregate])
         out = out.select(*map(quoted, aliases))
     else:
-        out = rows.select(*[shown(i).alias(i.alias) for i in q.items], *[plan.column(rows, v, p).alias(f"order/{n}") for n, (v, p) in extra.items()])
+        out = rows.select(*[shown(i).alias(i.alias) for i in items], *[plan.column(rows, v, p).alias(f"order/{n}") for n, (v, p) in extra.items()])
     if q.distinct:
         out = out.distinct()
     if q.order:
@@ -226,27 +234,21 @@ def _match(graph: PropertyGraph, query: str, q: Match) -> Result:
     return Result(out.select(*map(quoted, aliases)), graph)
 
 
-def _change(graph: PropertyGraph, plan: Plan, q: Match) -> Result:
+def _change(graph: PropertyGraph, plan: Plan, q: Match, rows: DataFrame) -> PropertyGraph:
+    """SET and DELETE on what the rows name."""
     touched = list(dict.fromkeys([v for v, _, _ in q.sets] + list(q.deletes)))
     for v in touched:
         plan.known(v)
-    rows = plan.rows({}, {v for v in plan.nodes if not v.startswith("_")})
-    matched = rows.select(*[plan.value(rows, v).alias(v) for v in plan.nodes if not v.startswith("_")], *[F.col(quoted(v)).alias(v) for v in plan.rels if not v.startswith("_")])
     ids = {v: rows.select(F.col(quoted(v)).alias("id")).distinct() for v in touched}
     for v in dict.fromkeys(v for v, _, _ in q.sets):
         props = {p: value for w, p, value in q.sets if w == v}
         if v in plan.nodes:
             graph = mutate.update_nodes(graph, ids[v], props)
         else:
-            tables = dict(graph.rels)
-            for name, t in tables.items():
-                hit = ids[v].withColumnRenamed("id", "hit_id")
-                joined = t.frame.join(hit, F.col("rel_id") == F.col("hit_id"), "left")
-                tables[name] = replace(t, frame=mutate._set(joined, props, F.col("hit_id").isNotNull()).drop("hit_id"))
-            graph = replace(graph, rels=tables)
+            graph = mutate.update_relationships(graph, ids[v].withColumnRenamed("id", "rel_id"), props)
     for v in q.deletes:
         graph = mutate.delete_nodes(graph, ids[v]) if v in plan.nodes else mutate.delete_relationships(graph, ids[v].withColumnRenamed("id", "rel_id"))
-    return Result(matched, graph)
+    return graph
 
 
 def _create(graph: PropertyGraph, query: str, q: Create) -> Result:
@@ -260,22 +262,23 @@ def _create(graph: PropertyGraph, query: str, q: Create) -> Result:
         nodes.append((n.labels, n.props, names[n.variable or f"_{k}"]))
     ids = list(names.values())
     for k, (r, _) in enumerate(p.hops):
-        if len(r.types) != 1:
+        if len(r.types) > 1:
             raise QueryRefused(query, "a new relationship has one type")
-        if r.direction == "both":
-            raise QueryRefused(query, "a new relationship has a direction")
-        a, b = (ids[k], ids[k + 1]) if r.direction == "outgoing" else (ids[k + 1], ids[k])
-        rels.append((a, b, r.types[0], r.props))
+        a, b = (ids[k + 1], ids[k]) if r.direction == "incoming" else (ids[k], ids[k + 1])  # undirected: outgoing
+        rels.append((a, b, r.types[0] if r.types else "RELATED_TO", r.props))
     new, _ = mutate.create_nodes(graph, [(labels, props, i) for labels, props, i in nodes])
     made = []
     if rels:
         new, made = mutate.create_relationships(new, rels)
-    shown: list[Column] = []
+    one_hop = len(p.hops) == 1
+    plain = ["node"] if not p.hops else ["start", "end"] if one_hop else [f"n{k}" for k in range(len(chain))]
+    shown: list[DataFrame] = []
     for k, n in enumerate(chain):
         row = node_rows(graph.spark, [(ids[k], n.labels, n.props)]).frame
-        shown.append(_one(row, n.variable or ("n" if not p.hops else f"n{k}")))
-    for (r, _), rel_id, (a, b, t, props) in zip(p.hops, made, rels, strict=True):
-        shown.append(_one(rel_rows(graph.spark, t, [(rel_id, a, b, props)]).frame.withColumn("type", F.lit(t)), r.variable or "r"))
+        shown.append(_one(row, n.variable or plain[k]))
+    for k, ((r, _), rel_id, (a, b, t, props)) in enumerate(zip(p.hops, made, rels, strict=True)):
+        row = rel_rows(graph.spark, t, [(rel_id, a, b, props)]).frame.withColumn("type", F.lit(t))
+        shown.append(_one(row, r.variable or ("rel" if one_hop else f"r{k}")))
     one = shown[0]
     for other in shown[1:]:
         one = one.join(other, "one/")

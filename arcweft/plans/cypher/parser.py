@@ -1,13 +1,16 @@
 """Tokens and grammar.  Whatever the grammar has no place for is refused with its reason.
 
-    query    := MATCH pattern [WHERE cond {AND cond}] (RETURN ... | SET ... | [DETACH] DELETE ...)
+    query    := MATCH pattern [WHERE cond {AND cond}] [SET var '.' prop '=' value {',' ...} | [DETACH] DELETE var {',' var}]
+                [RETURN ...] [ORDER BY ...] [SKIP n] [LIMIT n]
               | CREATE pattern
+
+Without RETURN all named variables are returned.
     pattern  := node {rel node}
     node     := '(' [var] {':' label} [map] ')'
     rel      := '-' '[' [var] [':' type {'|' type}] [map] ']' '->' | '<-' '[...]' '-' | '-' '[...]' '-'
     cond     := var '.' prop (= <> != > >= < <= CONTAINS, STARTS WITH, ENDS WITH, IN) value
               | var '.' prop IS [NOT] NULL
-    RETURN   := [DISTINCT] item {',' item} [ORDER BY name [ASC|DESC] ...] [SKIP n] [LIMIT n]
+    RETURN   := [DISTINCT] item {',' item}
     item     := (var | var '.' prop | count(*) | fn '(' [DISTINCT] var ['.' prop] ')') [AS alias]
 """
 
@@ -246,31 +249,24 @@ class Parser:
                 where.append(self.condition())
             if self.word("or") or self.word("xor"):
                 self.refuse("OR isn't supported in WHERE")
+        sets, deletes = [], []
         if self.word("set"):
-            sets = []
             while True:
                 variable, prop = self.property()
                 self.need("=")
                 sets.append((variable, prop, self.value()))
                 if not self.op(","):
                     break
-            if self.peek()[0] != "end":
-                self.refuse("nothing may follow SET")
-            return Match(pattern, tuple(where), sets=tuple(sets))
-        if self.word("detach", "delete") or self.word("delete"):
-            names = [self.name("a variable")]
+        elif self.word("detach", "delete") or self.word("delete"):
+            deletes.append(self.name("a variable"))
             while self.op(","):
-                names.append(self.name("a variable"))
-            if self.peek()[0] != "end":
-                self.refuse("nothing may follow DELETE")
-            return Match(pattern, tuple(where), deletes=tuple(names))
-        if not self.word("return"):
-            text = self.peek()[1]
-            self.refuse(f"{text.upper()} isn't supported" if text.lower() in REFUSED else "RETURN, SET or DELETE is missing")
-        distinct = self.word("distinct")
-        items = [self.item()]
-        while self.op(","):
+                deletes.append(self.name("a variable"))
+        distinct, items = False, []
+        if self.word("return"):
+            distinct = self.word("distinct")
             items.append(self.item())
+            while self.op(","):
+                items.append(self.item())
         order = []
         if self.word("order", "by"):
             while True:
@@ -284,7 +280,7 @@ class Parser:
                     break
         skip = self.number("SKIP") if self.word("skip") else None
         limit = self.number("LIMIT") if self.word("limit") else None
-        return Match(pattern, tuple(where), tuple(items), distinct, tuple(order), skip, limit)
+        return Match(pattern, tuple(where), tuple(items), distinct, tuple(order), skip, limit, tuple(sets), tuple(deletes))
 
 
 def parse(query: str) -> Match | Create:

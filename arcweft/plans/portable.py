@@ -24,7 +24,7 @@ from ..sources.storage import load, save
 from .cypher import Result, run
 
 DIRECTIONS = {"in": IN, "out": OUT, "both": BOTH, None: BOTH}
-FEATURES = frozenset({"nodes", "relationships", "traversal", "batch", "indexes", "cypher", "upsert", "graph-spaces", "transactions"})
+FEATURES = frozenset({"nodes", "relationships", "traversal", "batch", "indexes", "cypher", "cypher-bridge", "upsert", "graph-spaces", "transactions"})
 
 
 def plain(rows: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
@@ -80,12 +80,12 @@ class Space:
     def find_nodes(self, label: str, where: Mapping[str, Any] | None = None) -> DataFrame:
         return plain(find_nodes(self.graph, label, where))
 
-    def update_node(self, id: str, props: Mapping[str, Any]) -> bool:
-        """False if there is no such node."""
+    def update_node(self, id: str, props: Mapping[str, Any]) -> DataFrame | None:
+        """The node as it is now; None if there is none."""
         if get_node(self.graph, id).isEmpty():
-            return False
+            return None
         self._swap(mutate.update_nodes(self.graph, [id], props))
-        return True
+        return self.get_node(id)
 
     def delete_node(self, id: str) -> bool:
         if get_node(self.graph, id).isEmpty():

@@ -29,6 +29,8 @@ def crowd(spark):
         ("MATCH (c:Company)<-[:WORKS_ON]-(p) RETURN p", 1),
         ("MATCH (a {name: 'Bob'})-[:KNOWS]-(b) RETURN b", 2),
         ("MATCH (n) RETURN n", 4),
+        ("MATCH (p:Person)", 3),
+        ("MATCH (p:Person)-[k:KNOWS]->(q) LIMIT 2", 2),
         ("MATCH (a)-[]->(b)-[]->(c) RETURN a", 1),
         ("MATCH (a)-[:KNOWS]->(b)-[:KNOWS]->(a) RETURN a", 0),
         ("MATCH (p:Person) WHERE p.name IN ['Bob', 'Zoe'] RETURN p", 1),
@@ -59,10 +61,10 @@ def test_text_with_keywords_is_text(spark):
 @pytest.mark.parametrize(
     "query",
     [
-        "", "RETURN 1", "MATCH (n:Person)", "MATCH (n:Person) RETURN m", "MATCH (n) WHERE n.a = 1 OR n.b = 2 RETURN n",
+        "", "RETURN 1", "MATCH (:Person)", "MATCH (n:Person) RETURN m", "MATCH (n) WHERE n.a = 1 OR n.b = 2 RETURN n",
         "MATCH (n) WHERE NOT n.a = 1 RETURN n", "MATCH (a), (b) RETURN a", "MATCH (a)-->(b) RETURN a", "MATCH (a)-[*1..3]->(b) RETURN b",
         "MATCH (a) MATCH (b) RETURN a", "OPTIONAL MATCH (a) RETURN a", "MATCH (a) WITH a RETURN a", "MATCH (n {k: $p}) RETURN n",
-        "MATCH (n:P) SET n.a = 1 RETURN n", "MATCH (n:P) SET n.a = 1 DELETE n", "CREATE (a)-[:R]-(b)", "CREATE (a)-[]->(b)",
+        "MATCH (n:P) SET n.a = 1 DELETE n", "CREATE (a)-[:R|S]->(b)", "MATCH (n:P) SET m.a = 1", "MATCH (n:P) DELETE m", "CREATE (a), (b)",
         "MATCH (n) WHERE n.a = raw RETURN n", "MATCH (n) RETURN foo(n)", "MATCH (n:P) RETURN n LIMIT x", "MATCH (a)<-[:R]->(b) RETURN a",
         "MATCH (n:P) RETURN n UNION MATCH (m) RETURN m", "MERGE (n:P)", "MATCH (n) WHERE m.a = 1 RETURN n", "MATCH (a:A|B) RETURN a",
     ],
@@ -85,6 +87,12 @@ def test_updates(spark):
     assert stats(g).first()[:] == (2, 1, 0)
     done = run(g, "MATCH (p:Person) WHERE p.name = 'Ann' SET p.age = 31, p.note = 'x'")
     assert done.rows.count() == 1 and find_nodes(done.graph, "Person", {"age": 31, "note": "x"}).count() == 1
+    done = run(g, "MATCH (p:Person {name: 'Ann'}) SET p.age = 33 RETURN p.age AS age, p.name AS name LIMIT 1")
+    assert tuple(done.rows.first()) == (33, "Ann")
+    assert run(g, "MATCH (a)-[k:KNOWS]->(b) SET a.age = 3").rows.columns == ["a", "k", "b"]
+    plain = run(PropertyGraph(spark), "CREATE (:A)-[]-(:B)")
+    assert plain.rows.columns == ["start", "end", "rel"] and plain.graph.types == ("RELATED_TO",)
+    assert run(PropertyGraph(spark), "CREATE (:A {k: 1})").rows.columns == ["node"]
     done = run(g, "MATCH (a)-[k:KNOWS]->(b) SET k.since = 1")
     assert find_relationships(done.graph, "KNOWS").first().since == 1
     assert find_relationships(run(g, "MATCH (a)-[k:KNOWS]->(b) DELETE k").graph, "KNOWS").isEmpty()
@@ -117,7 +125,7 @@ def test_spaces(spark):
     a.create_nodes("Person", [{"_id": "p2", "name": "Bob", "age": 25, "city": "LA"}, {"_id": "p3", "name": "Charlie", "age": 35, "city": "NYC"}])
     b.create_node("Person", {"name": "Other"})
     assert one == "p1" and a.find_nodes("Person").count() == 3 and b.find_nodes("Person").count() == 1
-    assert b.get_node("p1").isEmpty() and not b.update_node("p1", {}) and not b.delete_node("p1")
+    assert b.get_node("p1").isEmpty() and b.update_node("p1", {}) is None and not b.delete_node("p1")
     q = {"kind": "match", "label": "Person"}
     assert a.query(q | {"where": {"city": "NYC"}}).count() == 2
     assert [r.name for r in a.query(q | {"orderBy": {"field": "age", "direction": "DESC"}}).collect()] == ["Charlie", "Alice", "Bob"]
