@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -99,34 +100,47 @@ class Property:
         return F.lit(value)
 
     def compared(self, value: Any, how: str) -> Column:
+        """May be null where the property is: in a filter that is as good as false, and it reaches the scan."""
         if value is None:
             return self.missing() if how == "eq" else never()
         column = self.typed(value)
         if column is None:
             return never()
         other = self.literal(value)
-        found = {
+        return {
             "eq": lambda: column == other,
             "gt": lambda: column > other,
             "gte": lambda: column >= other,
             "lt": lambda: column < other,
             "lte": lambda: column <= other,
         }[how]()
-        return F.coalesce(found, never())
+
+    def among(self, values: list[Any]) -> Column:
+        """Membership; the values of one kind make one list."""
+        kinds: dict[str, list[Any]] = {}
+        for v in values:
+            kinds.setdefault("null" if v is None else _kind(v), []).append(v)
+        found = []
+        for kind, same in kinds.items():
+            if kind in ("null", "array"):
+                found += [self.compared(v, "eq") for v in same]
+            elif (column := self.typed(same[0])) is not None:
+                found.append(column.isin(same))
+        return reduce(lambda a, b: a | b, found) if found else never()
 
     def test(self, name: str, value: Any) -> Column:
         if name == "neq":
-            return ~self.compared(value, "eq")
+            if value is None:
+                return ~self.missing()
+            column = self.typed(value)
+            return always() if column is None else ~column.eqNullSafe(self.literal(value))
         if name == "in":
-            found = never()
-            for v in value:
-                found = found | self.compared(v, "eq")
-            return found
+            return self.among(list(value))
         if name == "exists":
             return ~self.missing() if value else self.missing()
         if name in ("contains", "startsWith", "endsWith"):
             match = {"contains": F.contains, "startsWith": F.startswith, "endsWith": F.endswith}[name]
-            return F.coalesce(match(self.text(), F.lit(str(value))), never())
+            return match(self.text(), F.lit(str(value)))
         return self.compared(value, name)
 
 
@@ -157,7 +171,7 @@ def operators(condition: Any) -> list[tuple[str, Any]]:
 
 
 def compile_filter(where: Mapping[str, Any] | Column | None, fields: Mapping[str, T.DataType], prefix: str = "") -> Column:
-    """The filter as one boolean column, never null.
+    """The filter as one boolean column for ``where``; null counts as false.
 
     ``fields`` are the properties that the table has, by exact name; ``prefix`` qualifies them.
     A ready Spark column passes, for what filters can't say.
@@ -165,7 +179,7 @@ def compile_filter(where: Mapping[str, Any] | Column | None, fields: Mapping[str
     if where is None:
         return always()
     if isinstance(where, Column):
-        return F.coalesce(where, never())
+        return where
     out = None
     for name, condition in where.items():
         for op, value in operators(condition):

@@ -12,6 +12,18 @@ from ..sources.model import PropertyGraph
 OUT, IN, BOTH = "outgoing", "incoming", "both"
 
 
+#: Up to so many ids that are given as values are put into the filter of the arcs' scan.
+FEW = 200
+
+
+def few(ids: DataFrame | str | Iterable[str]) -> list[str] | None:
+    """The ids, if they are values and few."""
+    if isinstance(ids, DataFrame):
+        return None
+    ids = [ids] if isinstance(ids, str) else list(ids)
+    return ids if len(ids) <= FEW else None
+
+
 def as_ids(graph: PropertyGraph, ids: DataFrame | str | Iterable[str]) -> DataFrame:
     """(seed) from an id, ids or a frame with a column ``id``; repeated seeds count once."""
     if isinstance(ids, DataFrame):
@@ -51,8 +63,11 @@ def neighbors(
     graph: PropertyGraph, ids: DataFrame | str | Iterable[str], types: Iterable[str] | None = None, direction: str = BOTH
 ) -> DataFrame:
     """(seed, id, rel_id, type): one row for each relationship, so parallel ones repeat the neighbour."""
-    seeds = as_ids(graph, ids)
-    found = seeds.join(step_arcs(graph, types, direction), F.col("seed") == F.col("here"))
+    ids = ids if isinstance(ids, (DataFrame, str)) else list(ids)
+    steps = step_arcs(graph, types, direction)
+    if (values := few(ids)) is not None:
+        steps = steps.where(F.col("here").isin(values))
+    found = as_ids(graph, ids).join(steps, F.col("seed") == F.col("here"))
     return found.select("seed", F.col("there").alias("id"), "rel_id", "type")
 
 

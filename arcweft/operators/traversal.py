@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.model import PropertyGraph
-from .expand import BOTH, IN, OUT, as_ids, existing, step_arcs
+from .expand import BOTH, IN, OUT, as_ids, existing, few, step_arcs
 from .scan import Filter, hydrate, matching_ids
 
 NODES = "seed string, id string, hop int"
@@ -44,6 +44,7 @@ class Traversal:
     hops: int | None = None
     most: int | None = None
     once: bool = False
+    values: tuple[str, ...] | None = None  # the seeds, if they are few and known
 
     # -- description ------------------------------------------------------------------------
 
@@ -148,7 +149,8 @@ class Traversal:
 
     def _arcs(self, hop: int) -> DataFrame:
         step = self.steps[hop % len(self.steps)]
-        return step_arcs(self.graph, step.types or None, step.direction)
+        found = step_arcs(self.graph, step.types or None, step.direction)
+        return found.where(F.col("here").isin(list(self.values))) if hop == 0 and self.values is not None else found
 
     def _hop(self, level: DataFrame, hop: int) -> DataFrame:
         """Replace ``id`` by the neighbours that pass the filter; adds ``rel_id``."""
@@ -196,4 +198,6 @@ def _union(levels: list[DataFrame], graph: PropertyGraph, schema: str) -> DataFr
 
 def traverse(graph: PropertyGraph, start: DataFrame | str | Iterable[str]) -> Traversal:
     """Start at one node, several, or all of a frame's column ``id``."""
-    return Traversal(graph, as_ids(graph, start))
+    start = start if isinstance(start, (DataFrame, str)) else list(start)
+    values = few(start)
+    return Traversal(graph, as_ids(graph, start), values=None if values is None else tuple(values))

@@ -38,7 +38,7 @@ Condition = tuple[str, str, Any]
 def _filter(conditions: list[Condition], fields: dict[str, T.DataType]) -> Column:
     """All conditions on one table; several on one property must all hold."""
     tests = [compile_filter({prop: {op: value}}, fields) for prop, op, value in conditions]
-    return reduce(lambda a, b: a & b, tests, F.lit(True)) if tests else F.lit(True)
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
 class Plan:

@@ -226,6 +226,21 @@ def test_save_and_load(spark, tmp_path):
     assert find_nodes(load(spark, path, versions(spark, path)[0]), "A").count() == 3
 
 
+def test_known_ids_reach_the_scan(spark, tmp_path, crowd):
+    save(crowd, str(tmp_path / "g"))
+    g = load(spark, str(tmp_path / "g"))
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
+
+    assert "PushedFilters: [In(src, [alice,bob])" in plan(neighbors(g, ["alice", "bob"], ["KNOWS"], "outgoing"))
+    assert "In(src, [alice,bob])" in plan(traverse(g, ["alice", "bob"]).outgoing("KNOWS").collect())
+    assert "EqualTo(id,bob)" in plan(get_node(g, "bob"))
+    scan = plan(find_nodes(g, "Person", {"age": {"gte": 30}}).select("id"))
+    assert "GreaterThanOrEqual(age,30)" in scan and "ReadSchema: struct<id:string,age:bigint>" in scan
+    assert values(traverse(g, ["alice", "bob"]).outgoing("KNOWS").collect(), "id") == ["bob", "charlie", "charlie"]
+
+
 def test_validation_and_constraints(spark):
     frame = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None)], "id string, email string")
     rels = spark.createDataFrame([("r", "a", "z")], "rel_id string, src string, dst string")
