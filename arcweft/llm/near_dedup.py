@@ -13,9 +13,10 @@ Buckets are never expanded into all pairs.  Each bucket's smallest member is com
 others, and what links is joined into components.  Only buckets that still hold several
 components need more.  For their members an exact prefix join follows: shingles are ordered by
 how many of these members have them, the rarest first, and two sets that are similar enough
-share one of the first few, at places that leave room for the overlap they need.  So every pair
-that could still join two components is looked at, few others are, and none within a component.
-A distance up to ``T`` or a shared prefix makes a pair a candidate; the full sets decide.
+share one of the first few, at places that leave room for the overlap they need.  A bitmap of
+each set, in which every shingle flips one bit, bounds how much two sets differ from below and
+stops most pairs that differ too much.  So every pair that could still join two components is
+looked at, few others are, and none within a component.  A distance up to ``T`` or a shared prefix makes a pair a candidate; the full sets decide.
 
 Cases: a null or empty text, or one of white space alone, has an empty set and links with
 nothing; with fewer than ``width`` words the whole sequence is one shingle; repeated rows get
@@ -52,7 +53,9 @@ SIGNED = T.StructType(
     [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
     + [T.StructField(c, T.LongType()) for c in _SIG]
 )
-SET = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))])
+PARITY_BITS = 1024
+_BITS = [f"b{i}" for i in range(PARITY_BITS // 64)]
+SET = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))] + [T.StructField(c, T.LongType()) for c in _BITS])
 
 _random = np.random.default_rng(20_240_601)
 _TIMES = _random.integers(0, 2**64, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -99,6 +102,18 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of longs per set, with a bit set where an odd number of shingles falls.
+
+    Two rows differ in at most as many bits as the sets differ in shingles.
+    """
+    out = np.zeros((len(sets), PARITY_BITS // 64), dtype=np.int64)
+    for row, s in zip(out, sets, strict=True):
+        odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS) & 1
+        row[:] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
+
+
 def radius(threshold: Fraction, miss: float = MISS) -> int:
     """The least T with P(more than T symbols differ) <= miss at the threshold."""
     differ = 1 - float(threshold)
@@ -163,7 +178,7 @@ def signed(docs: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
-    """(node, hashes) of the documents in ``ids``."""
+    """(node, hashes, bitmap) of the documents in ``ids``."""
     ids = cut(ids)
     small = ids.count() <= BROADCAST_IDS
     picked = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text}`").alias("text"))
@@ -173,15 +188,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, text: str, id_col: str)
         known = _Words()
 
         def work(texts: list[str]) -> list[pa.Array]:
-            sets = [shingles(t, width, known).view(np.int64) for t in texts]
+            sets = [shingles(t, width, known) for t in texts]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            bits = parities(sets)
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(b) for b in bits.T)]
 
         return work
 
     rows, s = map_texts(picked, "text", SET, make, keep=["node"])
-    return rows.select("node", f"{s}.hashes")
+    return rows.select("node", f"{s}.*")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -197,10 +213,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
 def prefix_pairs(sets: DataFrame, parts: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): pairs of different components that may be similar enough.
 
-    ``sets`` are (node, hashes) and ``parts`` (node, component).  Two sets of sizes p and q need
+    ``sets`` are (node, hashes, bitmap) and ``parts`` (node, component).  Two sets of sizes p and q need
     t / (1 + t) * (p + q) shingles in common.  In the order of all shingles by their number of
     holders, the first one that both have must leave so many places after it in both.  Shingles
-    with one holder only take places.
+    with one holder only take places.  Their bitmaps must not differ in more bits than the sets
+    may in shingles, (1 - t) / (1 + t) * (p + q).
     """
     up, down = threshold.numerator, threshold.numerator + threshold.denominator
     every = sets.select("node", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("shingle"))
@@ -209,12 +226,15 @@ def prefix_pairs(sets: DataFrame, parts: DataFrame, threshold: Fraction) -> Data
     shared = every.join(holders, "shingle").withColumn("nth", F.row_number().over(own.orderBy("held", "shingle")))
     shared = shared.withColumn("after", F.count(F.lit(1)).over(own) - F.col("nth") + 1)  # places from this one on
     first = shared.where(F.col("after") * threshold.denominator >= F.col("n") * threshold.numerator)
-    first = cut(first.join(parts, "node").select("shingle", "node", "n", "after", "component"))
+    about = parts.join(sets.select("node", F.struct(*_BITS).alias("bits")), "node")
+    first = cut(first.join(about, "node").select("shingle", "node", "n", "after", "component", "bits"))
     x, y = first.alias("x"), first.alias("y")
     need = (F.col("x.n") + F.col("y.n")) * up
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     room = (F.col("x.after") * down >= need) & (F.col("y.after") * down >= need)
-    return x.join(y, apart & room).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col(f"x.bits.{b}").bitwiseXOR(F.col(f"y.bits.{b}"))) for b in _BITS), F.lit(0))
+    near = differ * down <= (F.col("x.n") + F.col("y.n")) * (threshold.denominator - threshold.numerator)
+    return x.join(y, apart & room & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_groups(

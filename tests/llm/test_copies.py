@@ -129,6 +129,17 @@ def test_every_pair_within_the_radius_shares_a_key():
             assert any(len(wrong & set(c)) <= 1 for c in chunks)
 
 
+def test_bitmaps_bound_differences_from_below():
+    import numpy as np
+
+    rng = random.Random(7)
+    every = np.array([rng.getrandbits(64) for _ in range(3000)], dtype=np.uint64)
+    for _ in range(100):
+        a, b = (np.unique(rng.choices(every, k=rng.randint(0, 800))).astype(np.uint64) for _ in range(2))
+        x, y = near_dedup.parities([a, b]).view(np.uint64)
+        assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5040)]
