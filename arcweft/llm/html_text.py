@@ -52,15 +52,15 @@ ELEMENTS = {
     "header": -7.0, "head": -20.0, "figcaption": -0.5, "address": -2.0, "fieldset": -6.0,
     "article": 4.0, "main": 2.5, "p": 0.8, "blockquote": 0.5, "pre": 0.8, "h1": 1.5, "h2": 1.0, "h3": 0.8, "li": -0.2, "td": -0.2,
 }
-NAMES = {
-    -9.0: "nav navbar navigation menu footer foot sidebar sidenav breadcrumb breadcrumbs pagination pager toolbar masthead skip",
-    -9.1: "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion adsense",
-    -9.2: "cookie cookies consent gdpr notice notices notification popup modal overlay alert newsletter subscribe signup login paywall",
-    -9.3: "comment comments reply replies respond disqus discussion",
-    -7.0: "header share sharing social related recommended recommendations widget teaser teasers tags tagcloud copyright legal disclaimer hidden aside side rail",
-    1.5: "article content entry post story main body text maintext articlebody",
-}
-WEIGHT_OF = {name: round(w) if w < -8 else w for w, names in NAMES.items() for name in names.split()}
+NAMES = (
+    (-9.0, "nav navbar navigation menu footer foot sidebar sidenav breadcrumb breadcrumbs pagination pager toolbar masthead skip"),
+    (-9.0, "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion adsense"),
+    (-9.0, "cookie cookies consent gdpr notice notices notification popup modal overlay alert newsletter subscribe signup login paywall"),
+    (-9.0, "comment comments reply replies respond disqus discussion"),
+    (-7.0, "header share sharing social related recommended recommendations widget teaser teasers tags tagcloud copyright legal disclaimer hidden aside side rail"),
+    (1.5, "article content entry post story main body text maintext articlebody"),
+)
+WEIGHT_OF = {name: w for w, names in NAMES for name in names.split()}
 WORDS_OF = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPLIT = re.compile(r"[^A-Za-z]+")
 ROLES = {"navigation": -9.0, "banner": -8.0, "contentinfo": -9.0, "complementary": -8.0, "search": -8.0, "dialog": -8.0, "main": 2.5, "article": 4.0}
@@ -73,9 +73,23 @@ class Element:
     tag: str
     parent: Element | None
     depth: int
-    worst: float  # least weight on the way up
+    low: float  # least weight by its kind
+    named: float  # least weight by its names; void if it holds the article
     best: float  # greatest weight on the way up
     linked: bool
+    holds: bool = False
+    worst: float | None = None
+
+    def least(self) -> float:
+        """The least weight on the way up, once the page is read."""
+        way, up = [], self
+        while up is not None and up.worst is None:
+            way.append(up)
+            up = up.parent
+        worst = 0.0 if up is None else up.worst
+        for x in reversed(way):
+            worst = x.worst = min(worst, x.low if x.holds else min(x.low, x.named))
+        return worst
 
 
 @dataclass(slots=True)
@@ -85,10 +99,10 @@ class Block:
     linked: int
 
 
-def _weights(tag: str, attributes: str) -> tuple[float, float]:
-    """The least and the greatest weight that an element's name and attributes give."""
+def _weights(tag: str, attributes: str) -> tuple[float, float, float]:
+    """The least weights by an element's kind and by its class and id, and the greatest by both."""
     w = ELEMENTS.get(tag, 0.0)
-    low, high = min(w, 0.0), max(w, 0.0)
+    low, named, high = min(w, 0.0), 0.0, max(w, 0.0)
     if attributes and not attributes.isspace():
         for name, *values in ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "")
@@ -105,15 +119,13 @@ def _weights(tag: str, attributes: str) -> tuple[float, float]:
                 for token in SPLIT.split(value):
                     for part in {token.lower(), *(x.lower() for x in WORDS_OF.findall(token))}:
                         w = WEIGHT_OF.get(part, 0.0)
-                        low, high = min(low, w), max(high, w)
-    if tag in ("body", "html"):  # a page's own class names say little
-        low, high = 0.0, 0.0
-    return low, high
+                        named, high = min(named, w), max(high, w)
+    return (0.0, 0.0, 0.0) if tag in ("body", "html") else (low, named, high)  # a page's own names say little
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order, white space made single."""
-    root = Element("", None, 0, 0.0, 0.0, False)
+    root = Element("", None, 0, 0.0, 0.0, 0.0, False)
     here, parts, linked, out = root, [], 0, []
     begin: Element | None = None
 
@@ -170,8 +182,13 @@ def blocks_of(page: str) -> list[Block]:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        low, high = _weights(tag, m[3])
-        here = Element(tag, here, here.depth + 1, min(here.worst, low), max(here.best, high), here.linked or tag == "a")
+        low, named, high = _weights(tag, m[3])
+        here = Element(tag, here, here.depth + 1, low, named, max(here.best, high), here.linked or tag == "a")
+        if tag in ("article", "main"):
+            up = here.parent
+            while up is not None and not up.holds:
+                up.holds = True
+                up = up.parent
     flush()
     return out
 
@@ -197,7 +214,7 @@ RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookie|newsletter|sig
 def odds(block: Block) -> float:
     """Log odds that a block is content."""
     n = len(block.text)
-    x = -0.6 + block.at.worst + block.at.best
+    x = -0.6 + block.at.least() + block.at.best
     x += min(2.0, n / 80) - 4.0 * block.linked / max(1, n)
     x += min(1.5, 0.5 * len(SENTENCE.findall(block.text[-400:])))
     if n < 200 and RIGHTS.search(block.text):

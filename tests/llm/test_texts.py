@@ -91,6 +91,7 @@ def test_a_small_cache_changes_nothing():
         ("<article><p>Text <b>bold</b> and <a href=x>link</a>.</p><script>var a='<p>no</p>';</script><style>p{}</style><!-- <p>no</p> --></article>", "Text bold and link."),
         ("<article><p>Body of the article, long enough.</p></article><section id='comments'><h2>Comments</h2><p>A reader wrote this long comment here.</p></section>", "Body of the article, long enough."),
         ("<div id=cookie-notice><p>We use cookies.</p></div><article><p>Real text of the page.</p><form><label>Name</label><input><button>Send</button></form></article>", "Real text of the page."),
+        ("<div class='content-sidebar-wrap'><div id=menu><a href=/>Home</a></div><article class='post'><p>The text of the post.</p><div class='comments'><p>Nice post, I liked it very much.</p></div></article></div>", "The text of the post."),
         ("<header><p>Site name</p></header><article><p>a &lt; b</p><ul><li>one item here<li>two items here</ul></article>", "a < b\none item here\ntwo items here"),
     ],
 )
