@@ -11,6 +11,7 @@ import pyarrow as pa
 
 SPACE = "▁"
 NEVER = np.int32(2**31 - 1)
+BARE = "\x01"
 
 
 @dataclass
@@ -147,8 +148,9 @@ def merge_rounds(symbols: np.ndarray, lengths: np.ndarray, pairs: Pairs) -> tupl
         stay[at + 1] = False
         new = at - np.arange(len(at))
         sym, word, rank, result = sym[stay], word[stay], rank[stay], result[stay]
-        touched = np.unique(np.r_[new, new[new > 0] - 1])
-        inner = touched[touched < len(sym) - 1]
+        touched = np.zeros(len(sym), dtype=bool)
+        touched[new] = touched[np.maximum(new, 1) - 1] = True
+        inner = np.flatnonzero(touched[:-1])
         r, to = pairs.look(sym[inner], sym[inner + 1])
         r[word[inner] != word[inner + 1]] = NEVER
         rank[inner], result[inner] = r, to
@@ -170,6 +172,7 @@ class PieceVocabulary:
     pairs: Pairs
     chars: tuple[np.ndarray, np.ndarray]
     pattern: str
+    alone: bool
     _codes: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
@@ -204,14 +207,24 @@ class PieceVocabulary:
         alone = "" if any("\n" in p and len(p) > 1 for p in normal) else "\\n"
         pattern = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + ("|\\n" if alone else "")
         longest = max(map(len, normal))
-        return cls(pieces, kinds, byte_ids, Pairs.build(found, base, longest), chars, pattern)
+        return cls(pieces, kinds, byte_ids, Pairs.build(found, base, longest), chars, pattern, bool(alone))
 
     def words(self, text: str) -> list[str]:
-        """The text's words; no merge crosses from one to the next."""
-        return re.findall(self.pattern, SPACE + text.replace(" ", SPACE)) if text else []
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the text's words; no merge crosses from one to the next.
+
+        A key is what follows a single space, or BARE and the word itself.
+        """
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or SPACE in text or BARE in text:  # a run of spaces is part of a word
+            return [BARE + w for w in re.findall(self.pattern, SPACE + text.replace(" ", SPACE))]
+        if self.alone:
+            text = text.replace("\n", f" {BARE}\n {BARE}")
+        return text.split(" ")
+
+    def encode_words(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and how many each has."""
+        words = [k[1:] if k[:1] == BARE else SPACE + k for k in keys]
         if self._codes is None:
             self._codes = np.full(0x110000, -1, dtype=np.int64)
             self._codes[self.chars[0]] = self.chars[1]
