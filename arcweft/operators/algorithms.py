@@ -212,6 +212,11 @@ def neighborhood(
     return seen, reduce(DataFrame.unionAll, rels).distinct()
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(k, m): each node's least lesser neighbour, written out so that a skewed join with it can be split."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
+
+
 def connected_components(graph: PropertyGraph, types: Iterable[str] | None = None) -> DataFrame:
     """(id, component): the least id that each node reaches over relationships of any direction.
 
@@ -226,12 +231,11 @@ def connected_components(graph: PropertyGraph, types: Iterable[str] | None = Non
         if now["n"] == 0 or now == state:
             break
         state = now
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionAll(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u > v").distinct())
+        least = _least(edges)
+        large = cut(edges.join(least, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        least = _least(large)
+        small = large.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        edges = cut(small.unionAll(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
     heads = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     nodes = graph.vertices().select("id").distinct()
     return nodes.join(heads, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
