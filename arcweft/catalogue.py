@@ -278,21 +278,21 @@ def traverse_paths(g):
 
 
 _SUB = (
-    "WITH l1 AS (SELECT DISTINCT l_partkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = 1 AND p_size < 25),"
+    "WITH l1 AS (SELECT DISTINCT l_partkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = 1 AND p_size < 45),"
     " l2 AS (SELECT DISTINCT l_orderkey AS o FROM lineitem JOIN l1 ON l_partkey = p WHERE l_orderkey <> 1) "
 )
 
 
 @query(_SUB + "SELECT 'order:1' AS id UNION ALL SELECT 'part:' || p FROM l1 UNION ALL SELECT 'order:' || o FROM l2")
 def traverse_subgraph_nodes(g):
-    t = traverse(g, "order:1").outgoing("CONTAINS").where({"size": {"lt": 25}}).incoming("CONTAINS")
+    t = traverse(g, "order:1").outgoing("CONTAINS").where({"size": {"lt": 45}}).incoming("CONTAINS")
     return t.subgraph()[0].select("id")
 
 
 @query(_SUB + "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem WHERE l_orderkey = 1 UNION ALL SELECT l_orderkey FROM lineitem JOIN l1 ON l_partkey = p WHERE l_orderkey <> 1)")
 def traverse_subgraph_rels(g):
     """Relationships before the filter: all lines of the order, and those of the parts that pass."""
-    t = traverse(g, "order:1").outgoing("CONTAINS").where({"size": {"lt": 25}}).incoming("CONTAINS")
+    t = traverse(g, "order:1").outgoing("CONTAINS").where({"size": {"lt": 45}}).incoming("CONTAINS")
     return t.subgraph()[1].agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -59,6 +59,18 @@ def step_arcs(graph: PropertyGraph, types: Iterable[str] | None, direction: str)
     return found if graph.whole else existing(graph, found, "there")
 
 
+def far_labels(graph: PropertyGraph, types: Iterable[str] | None, direction: str) -> frozenset[str] | None:
+    """Labels of which every node at the far end of such arcs carries one; None if that isn't known."""
+    found: set[str] = set()
+    for t in types or graph.types:
+        if (table := graph.rels.get(t)) is not None:
+            sides = {OUT: [table.ends], IN: [table.starts], BOTH: [table.starts, table.ends]}[direction]
+            if not all(sides):
+                return None
+            found.update(*sides)
+    return frozenset(found)
+
+
 def neighbors(
     graph: PropertyGraph, ids: DataFrame | str | Iterable[str], types: Iterable[str] | None = None, direction: str = BOTH
 ) -> DataFrame:

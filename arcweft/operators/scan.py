@@ -52,10 +52,18 @@ def _rels(graph: PropertyGraph, types: tuple[str, ...], where: Filter) -> DataFr
     return union(found) if found else graph.spark.createDataFrame([], EDGE)
 
 
-def matching_ids(graph: PropertyGraph, where: Filter = None, labels: tuple[str, ...] = ()) -> DataFrame:
-    """Ids of nodes that carry all labels and pass a filter; only the columns it names are read."""
+def matching_ids(
+    graph: PropertyGraph, where: Filter = None, labels: tuple[str, ...] = (), among: frozenset[str] | None = None
+) -> DataFrame:
+    """Ids of nodes that carry all labels and pass a filter; only the columns it names are read.
+
+    ``among`` are labels of which the nodes in question are known to carry one: tables that
+    can't hold such a node aren't read.
+    """
     found = []
     for table in graph.nodes.values():
+        if among is not None and not among & (table.fixed | table.maybe):
+            continue
         rows: DataFrame | None = table.frame
         for label in labels:
             if label not in table.fixed:

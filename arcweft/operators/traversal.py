@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.model import PropertyGraph
-from .expand import BOTH, IN, OUT, as_ids, existing, few, step_arcs
+from .expand import BOTH, IN, OUT, as_ids, existing, far_labels, few, step_arcs
 from .scan import Filter, hydrate, matching_ids
 
 NODES = "seed string, id string, hop int"
@@ -135,7 +135,7 @@ class Traversal:
             none = self.graph.spark.createDataFrame([], "seed string, id string")
             return none, none.withColumnRenamed("id", "rel_id")
         rels: list[DataFrame] = []
-        levels = [self._start().select("seed", F.col("seed").alias("id")), *self._levels(rels)]
+        levels = [self._start(shown=True).select("seed", F.col("seed").alias("id")), *self._levels(rels)]
         nodes = reduce(DataFrame.unionAll, [x.select("seed", "id") for x in levels])
         return nodes, reduce(DataFrame.unionAll, rels).distinct()
 
@@ -144,8 +144,9 @@ class Traversal:
     def _depth(self) -> int:
         return len(self.steps) if self.hops is None else self.hops
 
-    def _start(self) -> DataFrame:
-        return existing(self.graph, self.seeds, "seed")
+    def _start(self, shown: bool = False) -> DataFrame:
+        """The seeds that exist.  In a whole graph the others have no arcs, so only a result that shows seeds looks."""
+        return self.seeds if self.graph.whole and not shown else existing(self.graph, self.seeds, "seed")
 
     def _arcs(self, hop: int) -> DataFrame:
         step = self.steps[hop % len(self.steps)]
@@ -156,7 +157,10 @@ class Traversal:
         """Replace ``id`` by the neighbours that pass the filter; adds ``rel_id``."""
         step = self.steps[hop % len(self.steps)]
         found = level.join(self._arcs(hop), F.col("id") == F.col("here")).drop("id", "here", "type").withColumnRenamed("there", "id")
-        return found if step.where is None else found.join(matching_ids(self.graph, step.where), "id", "left_semi")
+        if step.where is None:
+            return found
+        labels = far_labels(self.graph, step.types or None, step.direction)
+        return found.join(matching_ids(self.graph, step.where, among=labels), "id", "left_semi")
 
     def _walks(self) -> list[DataFrame]:
         level, levels = self._start().select("seed", F.col("seed").alias("id")), []
