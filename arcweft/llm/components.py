@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 
+def _parents(edges: DataFrame) -> DataFrame:
+    """(of, m): the least of each node's lesser neighbours.
+
+    Written out, so that the join with it is between two plain exchanges: a node with very many
+    neighbours makes a skewed partition of edges, which adaptive execution then splits.
+    """
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m"))
+
+
 def _large(edges: DataFrame) -> DataFrame:
-    """Tie every greater neighbour of a node to the least of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
-    tied = both.where("v > u").join(least, F.col("u") == F.col("of"))
-    return tied.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Tie every greater neighbour of a node to the least of its neighbourhood.  Each edge has u > v."""
+    tied = edges.join(_parents(edges), F.col("v") == F.col("of"), "left")
+    return tied.select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    """Tie a node and its lesser neighbours to the least of them.  Each edge has u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
-    tied = edges.join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = least.select(F.col("of").alias("u"), F.col("m").alias("v"))
-    return tied.unionByName(own).where("u > v").distinct()
+    """Tie a node and its lesser neighbours to the least of them."""
+    parents = _parents(edges)
+    tied = edges.join(parents, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.where("u > v").unionByName(parents.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -39,6 +45,6 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state["n"] == 0 or state == last:
             break
         last = state
-        edges = cut(_small(_large(edges)))
+        edges = cut(_small(cut(_large(edges))))
     heads = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)

@@ -67,7 +67,7 @@ class _Words(dict):
     """64-bit hashes of words; forgotten when there are too many, for memory alone."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -221,7 +221,7 @@ def prefix_pairs(sets: DataFrame, parts: DataFrame, threshold: Fraction) -> Data
     """
     up, down = threshold.numerator, threshold.numerator + threshold.denominator
     every = sets.select("node", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("shingle"))
-    holders = every.groupBy("shingle").count().where(F.col("count") > 1).select("shingle", F.col("count").alias("held"))
+    holders = cut(every.groupBy("shingle").count().where(F.col("count") > 1).select("shingle", F.col("count").alias("held")))
     own = Window.partitionBy("node")
     shared = every.join(holders, "shingle").withColumn("nth", F.row_number().over(own.orderBy("held", "shingle")))
     shared = shared.withColumn("after", F.count(F.lit(1)).over(own) - F.col("nth") + 1)  # places from this one on
@@ -249,7 +249,7 @@ def near_groups(
 
     entries = nodes.select("node", F.explode(keys(t)).alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    shared = shared.where("hub < last").select("key", "hub")
+    shared = cut(shared.where("hub < last").select("key", "hub"))  # written out, so that a skewed join can be split
     members = cut(entries.join(shared, "key").where("node != hub").select("key", "hub", "node"))
 
     # every bucket's smallest member with the others
@@ -264,7 +264,8 @@ def near_groups(
     # buckets of several components
     entries = members.select("key", "node").unionAll(members.select("key", F.col("hub").alias("node")).distinct())
     placed = entries.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = cut(mixed.where("low < high").select("key"))
     parts = cut(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
     if not parts.isEmpty():
         sets = cut(sets_of(docs, parts.select("node"), width, text, id_col))
