@@ -11,13 +11,15 @@ from pyspark.sql import types as T
 
 from ..session import cut, shared_dir
 
-__all__ = ["WORD", "crc_of", "cut", "fresh", "labelled_sample", "map_texts", "shared_dir", "slices", "table"]
+__all__ = ["WORD", "bounded_batches", "crc_of", "cut", "fresh", "labelled_sample", "map_texts", "shared_dir", "slices", "table"]
 
 #: A word is a run of characters other than the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that a Python worker handles at once; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and Python; each running task holds two or more.
+BATCH_BYTES = 8 << 20
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -32,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small; they are bounded by rows and bytes, whatever comes first."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the bytes of ``column`` would exceed ``limit``; no row is left out."""
     sizes = [len(v) if v is not None else 0 for v in batch.column(column).cast(pa.large_binary()).to_pylist()]
@@ -72,6 +79,7 @@ def map_texts(
                 struct = pa.StructArray.from_arrays(arrays, names=[f.name for f in schema])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), struct], names=[*keep, name])
 
+    bounded_batches(df.sparkSession)
     needed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
     return needed.mapInArrow(run, result), name
 

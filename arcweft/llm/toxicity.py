@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_of, labelled_sample, map_texts, slices
+from ._common import bounded_batches, crc_of, labelled_sample, map_texts, slices
 
 ORDER = 6
 BITS = 20
@@ -166,7 +166,7 @@ class Model:
 class Scorer:
     """Normalised differences of texts; scores of words are remembered, bounded for memory alone."""
 
-    def __init__(self, model: Model, limit: int = 500_000) -> None:
+    def __init__(self, model: Model, limit: int = 300_000) -> None:
         self.model, self.limit = model, limit
         self.index: dict[bytes, int] = {}
         self.score = np.zeros(0)
@@ -241,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, count_on: Column, curve_on: Column,
     counted = marked.where(count_on)
     small = counted.count() <= BROADCAST_LABELS
     rows = docs.select("doc_id", "text").join(F.broadcast(counted) if small else counted, "doc_id").select("text", "y")
+    bounded_batches(spark)
     grams = rows.mapInArrow(count_grams, GRAM).groupBy("bucket")
     grams = grams.agg(F.max("gram").alias("gram"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     found = grams.drop("bucket").toArrow()  # at most SIZE rows
