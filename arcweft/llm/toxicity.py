@@ -8,9 +8,10 @@ word, ``SHARE`` of it toxic.  A document's score compares this log-likelihood wi
 one, normalised by length, through a logistic curve fitted on labelled rows that the models
 were not counted on.
 
-Counting covers every labelled training row, on the executors.  N-grams are numbered by a hash
-of ``BITS`` bits, so the tables have a fixed size, may be gathered and broadcast, and merge the
-few n-grams that share a number.
+Counting covers every labelled training row, on the executors, and keeps every n-gram: tables
+grow with the corpus.  Up to ``BROADCAST_GRAMS`` different n-grams the tables are broadcast, by
+64-bit hashes; above it they stay distributed, are joined with the n-grams of the texts' different
+words, and these words' scores with the texts.
 
 Words are runs of ASCII digits and letters and of characters beyond ASCII, lower-cased.
 
@@ -22,20 +23,20 @@ each; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, crc_of, labelled_sample, map_texts, slices
+from ._common import bounded_batches, crc_of, cut, labelled_sample, map_texts, slices
 
 ORDER = 6
-BITS = 20
-SIZE = 1 << BITS
+#: Characters that there may be; each has half an occurrence beforehand.
+CHARS = 1 << 20
 DISCOUNT = 0.95
 #: Part of a toxic document's words that the toxic model accounts for.
 SHARE = 0.02
@@ -45,13 +46,15 @@ PRIOR_WORDS = 50
 CURVE_SAMPLE = 4_000
 #: Labels up to this number are broadcast to the texts; above it the texts are shuffled to them.
 BROADCAST_LABELS = 2_000_000
+#: N-grams up to this number are gathered and broadcast; above it they are joined.
+BROADCAST_GRAMS = 2_000_000
+#: Characters of different words that a task remembers before it hands on what it has.
+HELD_CHARS = 1_000_000
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-GRAM = T.StructType(
-    [T.StructField("bucket", T.IntegerType()), T.StructField("gram", T.StringType())]
-    + [T.StructField(c, T.LongType()) for c in ("toxic", "ordinary")]
-)
-
+GRAM = T.StructType([T.StructField("gram", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("toxic", "ordinary")])
+PLACE = T.StructType([T.StructField("word", T.StringType()), T.StructField("at", T.LongType()), T.StructField("gram", T.StringType())])
+PAD, END = "\x02" * (ORDER - 1), "\x03"
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -60,22 +63,21 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
-def number(gram: np.ndarray, char: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Extend hashes of (k - 1)-grams by the character before them; the hashes and their numbers."""
+def number(gram: np.ndarray, char: np.ndarray, k: int) -> np.ndarray:
+    """Extend hashes of (k - 1)-grams by the character before them."""
     h = (gram ^ (char.astype(np.uint64) + np.uint64(k))) * _C1
-    h ^= h >> np.uint64(31)
-    return h, ((h * _C2) >> np.uint64(64 - BITS)).astype(np.int64)
+    h = (h ^ (h >> np.uint64(31))) * _C2
+    return h ^ (h >> np.uint64(29))
 
 
-def buckets(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the n-grams of orders 1 to ORDER that end at each place of the padded words.
+def places(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of orders 1 to ORDER that end at each place of the padded words.
 
     Also returns the places that are scored (a word's characters and its end), the word of
     each, and the characters.
     """
-    pad, end = "\x02" * (ORDER - 1), "\x03"
     texts = [w.decode("utf-8", "surrogatepass") for w in words]
-    flat = np.frombuffer("".join([pad + t + end for t in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    flat = np.frombuffer("".join([PAD + t + END for t in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     starts = np.r_[0, np.cumsum(sizes + ORDER - 1)[:-1]]
     word = np.repeat(np.arange(len(words)), sizes)
@@ -83,81 +85,92 @@ def buckets(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     found, h = [], np.zeros(len(flat), dtype=np.uint64)
     for k in range(1, ORDER + 1):
         before = flat if k == 1 else np.r_[np.zeros(k - 1, dtype=flat.dtype), flat[: 1 - k]]
-        h, bucket = number(h, before, k)
-        found.append(bucket)
+        h = number(h, before, k)
+        found.append(h)
     return found, at, word, flat
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task has seen: an n-gram of each number, and how often each class has it."""
-    often = np.zeros((2, SIZE), dtype=np.int64)
-    shown = np.zeros((SIZE, ORDER), dtype=np.uint32)
+    """What a task has seen: n-grams, and how often each class has them; one may come several times."""
+    words: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for part in slices(batch, "text"):
-            texts, labels = part.column("text").to_pylist(), part.column("y").to_pylist()
-            for y in (0, 1):
-                words = Counter(w for t, label in zip(texts, labels, strict=True) if label == y for w in words_of(t or ""))
-                if not words:
-                    continue
-                found, at, word, flat = buckets(list(words))
-                weight = np.fromiter(words.values(), dtype=np.int64, count=len(words))[word]
-                often[y] += np.bincount(found[-1][at], weights=weight, minlength=SIZE).astype(np.int64)
-                g, first = np.unique(found[-1][at], return_index=True)
-                shown[g] = flat[at[first][:, None] + np.arange(1 - ORDER, 1)]
-    every = np.flatnonzero(often.any(axis=0))
-    for g in np.array_split(every, max(1, len(every) // 50_000)):
-        grams = shown[g].tobytes().decode("utf-32-le", "surrogatepass")
+            for t, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
+                words[y].update(words_of(t or ""))
+            if sum(map(len, words[0])) + sum(map(len, words[1])) > HELD_CHARS:
+                yield from _grams(*words)
+                words = (Counter(), Counter())
+    yield from _grams(*words)
+
+
+def _grams(ordinary: Counter, toxic: Counter) -> Iterator[pa.RecordBatch]:
+    words = list(ordinary | toxic)
+    if not words:
+        return
+    found, at, word, flat = places(words)
+    keys, first, which = np.unique(found[-1][at], return_index=True, return_inverse=True)
+    often = []
+    for c in (toxic, ordinary):
+        weight = np.fromiter((c[w] for w in words), dtype=np.int64, count=len(words))[word]
+        often.append(np.bincount(which, weights=weight, minlength=len(keys)).astype(np.int64))
+    for g in np.array_split(np.arange(len(keys)), max(1, len(keys) // 50_000)):
+        grams = flat[at[first[g]][:, None] + np.arange(1 - ORDER, 1)].tobytes().decode("utf-32-le", "surrogatepass")
         grams = [grams[i : i + ORDER] for i in range(0, len(grams), ORDER)]
-        columns = [pa.array(g.astype(np.int32)), pa.array(grams, pa.string()), pa.array(often[1][g]), pa.array(often[0][g])]
-        yield pa.RecordBatch.from_arrays(columns, names=GRAM.names)
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(often[0][g]), pa.array(often[1][g])], names=GRAM.names)
+
+
+def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash lies among sorted keys; behind the last, where tables have 0, without one."""
+    i = np.searchsorted(keys, h)
+    return np.where(np.r_[keys, np.uint64(0)][i] == h, i, len(keys))
+
+
+def _counts(at: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(at, weights=weights, minlength=n + 1).astype(np.float64)
 
 
 @dataclass
 class Model:
-    """Tables by n-gram number; ``curve`` maps the normalised difference to a score."""
+    """Tables beside the sorted hashes of their n-grams, with a 0 behind the last."""
 
+    grams: np.ndarray
     top: np.ndarray  # toxic, ordinary: counts of the highest order
+    contexts: np.ndarray
     ctx: np.ndarray  # the same of its contexts
     kinds: np.ndarray  # how many different characters follow these contexts
-    lower: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # orders 2 to ORDER - 1: continuations, of contexts, kinds
+    #: Orders 2 to ORDER - 1: n-grams and their continuations, contexts and their continuations and kinds.
+    lower: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    chars: np.ndarray
     single: np.ndarray
     total: float
-    curve: tuple[float, float] = (0.0, 0.0)
-    share: float = 0.0
 
     def packed(self) -> Model:
-        """The same with each table as the places and values that aren't zero, to send it."""
-        pack = lambda a: (np.flatnonzero(a).astype(np.int32), a[a != 0].astype(np.float32))
-        two = lambda t: [pack(a) for a in t]
-        return replace(self, top=two(self.top), ctx=two(self.ctx), kinds=two(self.kinds), lower=[two(x) for x in self.lower], single=pack(self.single))
+        """The same with counts in as few bytes as hold them, to send it."""
+        return self._counts_as(lambda a: a.astype(np.min_scalar_type(int(a.max()))))
 
     def unpacked(self) -> Model:
-        def fill(p: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-            out = np.zeros(SIZE, dtype=np.float32)
-            out[p[0]] = p[1]
-            return out
+        return self._counts_as(lambda a: a.astype(np.float64))
 
-        two = lambda t: [fill(p) for p in t]
-        return replace(self, top=two(self.top), ctx=two(self.ctx), kinds=two(self.kinds), lower=[two(x) for x in self.lower], single=fill(self.single))
+    def _counts_as(self, f: Callable[[np.ndarray], np.ndarray]) -> Model:
+        lower = [(g, f(more), h, f(of), f(kinds)) for g, more, h, of, kinds in self.lower]
+        return replace(self, top=f(self.top), ctx=f(self.ctx), kinds=f(self.kinds), lower=lower, single=f(self.single))
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """log of ((1 - SHARE) P(ordinary) + SHARE P(toxic)) / P(ordinary) of each word."""
-        found, at, word, _ = buckets(words)
-        shared = (self.single[found[0][at]] + 0.5) / self.total
+        found, at, word, _ = places(words)
+        shared = (self.single[_find(self.chars, found[0][at])] + 0.5) / self.total
         for k in range(2, ORDER):
-            more, of, kinds = self.lower[k - 2]
-            g, h = found[k - 1][at], found[k - 2][at - 1]
-            n = of[h].astype(np.float64)
+            grams, more, contexts, of, kinds = self.lower[k - 2]
+            g, h = _find(grams, found[k - 1][at]), _find(contexts, found[k - 2][at - 1])
+            n = of[h]
             known = n > 0
-            n[~known] = 1
-            shared = np.where(known, (np.maximum(more[g] - DISCOUNT, 0) + DISCOUNT * kinds[h] * shared) / n, shared)
-        g, h = found[-1][at], found[-2][at - 1]
+            shared = np.where(known, (np.maximum(more[g] - DISCOUNT, 0) + DISCOUNT * kinds[h] * shared) / np.where(known, n, 1), shared)
+        g, h = _find(self.grams, found[-1][at]), _find(self.contexts, found[-2][at - 1])
         logs = []
         for y in (0, 1):
-            n = self.ctx[y][h].astype(np.float64)
+            n = self.ctx[y][h]
             known = n > 0
-            n[~known] = 1
-            p = (np.maximum(self.top[y][g] - DISCOUNT, 0) + DISCOUNT * self.kinds[y][h] * shared) / n
+            p = (np.maximum(self.top[y][g] - DISCOUNT, 0) + DISCOUNT * self.kinds[y][h] * shared) / np.where(known, n, 1)
             logs.append(np.log(np.where(known, p, shared)))
         ratio = np.bincount(word, weights=logs[0] - logs[1], minlength=len(words))
         return np.logaddexp(np.log(1 - SHARE), np.log(SHARE) + ratio)
@@ -186,38 +199,156 @@ class Scorer:
         score, ends = np.r_[0, np.cumsum(self.score[at])], np.cumsum(n)
         return np.where(n > 0, (score[ends] - score[ends - n]) / (n + PRIOR_WORDS), np.nan)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        d = self.differences(texts)
-        slope, shift = self.model.curve
-        z = np.clip(slope * np.nan_to_num(d) + shift, -700, 700)
-        return np.where(np.isnan(d), self.model.share, 1 / (1 + np.exp(-z)))
-
 
 def build(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     """Tables from the gathered n-grams.  Their ends and beginnings are all n-grams of lower orders."""
     chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, ORDER)
-    zero = np.zeros(len(chars), dtype=np.uint64)
     ends, contexts = [], []
-    h, c = zero, zero
+    h = c = np.zeros(len(chars), dtype=np.uint64)
     for k in range(1, ORDER + 1):
-        h, bucket = number(h, chars[:, ORDER - k], k)
-        ends.append(bucket)
+        h = number(h, chars[:, ORDER - k], k)
+        ends.append(h)
         if k < ORDER:
-            c, bucket = number(c, chars[:, ORDER - 1 - k], k)
-            contexts.append(bucket)
-    count = lambda at, n=None: np.bincount(at, weights=n, minlength=SIZE).astype(np.float32)
+            c = number(c, chars[:, ORDER - 1 - k], k)
+            contexts.append(c)
     by_class = (toxic, ordinary)
-    top = np.stack([count(ends[-1], n) for n in by_class])
-    ctx = np.stack([count(contexts[-1], n) for n in by_class])
-    kinds = np.stack([count(contexts[-1][n > 0]) for n in by_class])
-    lower, more = [], np.zeros(0)
+    keys, at = np.unique(ends[-1], return_inverse=True)
+    top = np.stack([_counts(at, len(keys), n) for n in by_class])
+    before, at = np.unique(contexts[-1], return_inverse=True)
+    ctx = np.stack([_counts(at, len(before), n) for n in by_class])
+    kinds = np.stack([_counts(at[n > 0], len(before)) for n in by_class])
+    lower, more = [], np.zeros(1)
     for k in range(ORDER, 1, -1):
-        _, first = np.unique(ends[k - 1], return_index=True)
+        known, first = np.unique(ends[k - 1], return_index=True)
+        if k < ORDER:
+            h, at = np.unique(contexts[k - 2][first], return_inverse=True)
+            lower.append((known, more, h, _counts(at, len(h), more[:-1]), _counts(at, len(h))))
+        shorter, at = np.unique(ends[k - 2][first], return_inverse=True)
+        more = _counts(at, len(shorter))  # in how many contexts each (k - 1)-gram occurs
+    return Model(keys, top, before, ctx, kinds, lower[::-1], shorter, more, float(more.sum()) + 0.5 * CHARS)
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each word, by their places."""
+    for batch in batches:
+        rows: tuple[list, list, list] = ([], [], [])
+        for w in batch.column("word").to_pylist():
+            padded = PAD + w + END
+            for i in range(len(w) + 1):
+                for column, value in zip(rows, (w, i, padded[i : i + ORDER]), strict=True):
+                    column.append(value)
+                if len(rows[0]) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=PLACE.names)
+                    rows = ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=PLACE.names)
+
+
+def _ends(level: DataFrame) -> DataFrame:
+    """The n-grams without their first character, and in how many contexts counted rows have them."""
+    end = F.expr("substring(gram, 2)").alias("gram")
+    return cut(level.groupBy(end).agg(F.sum((F.col("more") > 0).cast("long")).alias("more")))
+
+
+def joined_word_scores(grams: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, score) as of ``Model.word_scores``, by joins alone.
+
+    An n-gram meets a row of each n-gram one character longer, so no key has more rows than there
+    are characters, whatever the corpus; only a word's n-grams meet as many as words have them.
+    """
+    spelt = cut(words.mapInArrow(_spell, PLACE))
+    asked = spelt.select("gram", F.lit(0).cast("long").alias("toxic"), F.lit(0).cast("long").alias("ordinary"))
+    level = grams.select("gram", "toxic", "ordinary").unionAll(asked).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    levels = {ORDER: cut(level.withColumn("more", F.col("toxic") + F.col("ordinary")))}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = _ends(levels[k + 1])
+    total = float(levels[1].agg(F.sum("more")).first()[0] or 0) + 0.5 * CHARS
+    shared = levels[1].select(F.col("gram").alias("end"), ((F.col("more") + 0.5) / total).alias("shared"))
+
+    def smoothed(count: str, of: str, kinds: str) -> Column:
+        p = (F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col("shared")) / F.col(of)
+        return F.when(F.col(of) > 0, p).otherwise(F.col("shared"))
+
+    for k in range(2, ORDER + 1):
+        context = Window.partitionBy(F.substring("gram", 1, k - 1))
+        counts = ("more",) if k < ORDER else ("toxic", "ordinary")
+        sums = {f"{c}_of": F.sum(c).over(context) for c in counts} | {f"{c}_kinds": F.sum((F.col(c) > 0).cast("long")).over(context) for c in counts}
+        found = levels[k].withColumns(sums).withColumn("end", F.expr("substring(gram, 2)")).join(shared, "end")
         if k < ORDER:
-            h = contexts[k - 2][first]
-            lower.append((more, count(h, more[ends[k - 1][first]]), count(h)))
-        more = count(ends[k - 2][first])  # in how many contexts each (k - 1)-gram occurs
-    return Model(top, ctx, kinds, lower[::-1], more, float(more.sum()) + 0.5 * SIZE)
+            shared = cut(found.select(F.col("gram").alias("end"), smoothed("more", "more_of", "more_kinds").alias("shared")))
+    p = [F.log(smoothed(c, f"{c}_of", f"{c}_kinds")) for c in ("toxic", "ordinary")]
+    ratios = found.select("gram", (p[0] - p[1]).alias("ratio"))
+    each = F.array_sort(F.collect_list(F.struct("at", "ratio")))  # one order of summing, so that runs agree
+    ratio = F.aggregate(each, F.lit(0.0), lambda so_far, x: so_far + x["ratio"])
+    rows = spelt.join(ratios, "gram").groupBy("word").agg(ratio.alias("ratio"))
+    a, b = F.lit(float(np.log(1 - SHARE))), F.col("ratio") + float(np.log(SHARE))
+    return rows.select("word", (F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))).alias("score"))
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's different words and how often it has them; a null word for a text without."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows, words, often = [], [], []
+            for row, t in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
+                bag = Counter(words_of(t or "")) or {None: 0}
+                rows.extend([row] * len(bag))
+                words.extend([w if w is None else w.decode("utf-8", "surrogatepass") for w in bag])
+                often.extend(bag.values())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.string()), pa.array(often, pa.int64())], names=["row", "word", "n"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of a task; one may come several times."""
+    words: set[bytes] = set()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string())], names=["word"])
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for t in part.column("text").to_pylist():
+                words.update(words_of(t or ""))
+            if sum(map(len, words)) > HELD_CHARS:
+                yield out()
+                words = set()
+    yield out()
+
+
+Differences = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def _joined(docs: DataFrame, grams: DataFrame) -> Differences:
+    """Normalised differences of documents by joins with their words' scores."""
+    bounded_batches(docs.sparkSession)
+    scores = cut(joined_word_scores(grams, docs.select("text").mapInArrow(_words, "word string").distinct()))
+
+    def differences(rows: DataFrame, keep: list[str]) -> DataFrame:
+        rows = cut(rows.select(*keep, "text", F.monotonically_increasing_id().alias("row")))
+        bags = rows.select("row", "text").mapInArrow(_bags, "row long, word string, n long")
+        n = F.sum("n")
+        d = F.when(n > 0, F.sum(F.col("n") * F.col("score")) / (n + PRIOR_WORDS)).otherwise(F.lit(float("nan")))
+        found = bags.join(scores, "word", "left").groupBy("row").agg(d.alias("d"))
+        return rows.drop("text").join(found, "row").select(*keep, "d")
+
+    return differences
+
+
+def _broadcast(docs: DataFrame, grams: DataFrame) -> Differences:
+    """The same from tables that every task has."""
+    found = grams.toArrow()  # at most BROADCAST_GRAMS rows
+    model = build(found["gram"].to_pylist(), found["toxic"].to_numpy(), found["ordinary"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
+    schema = T.StructType([T.StructField("d", T.DoubleType())])
+
+    def make():
+        scorer = Scorer(shared.value.unpacked())
+        return lambda texts: [pa.array(scorer.differences(texts), pa.float64())]
+
+    def differences(rows: DataFrame, keep: list[str]) -> DataFrame:
+        scored, s = map_texts(rows, "text", schema, make, keep=keep)
+        return scored.select(*keep, f"{s}.d")
+
+    return differences
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -233,51 +364,36 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(w[0])) / scale, float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, count_on: Column, curve_on: Column, sample: int = CURVE_SAMPLE) -> Model:
-    """Count the models on all labelled rows of ``count_on``; fit the curve on a sample of ``curve_on``."""
-    spark = docs.sparkSession
+def count(docs: DataFrame, labels: DataFrame, part: Column, most: int = BROADCAST_GRAMS) -> Differences:
+    """Count the models on all labelled rows of ``part``."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    counted = marked.where(count_on)
+    counted = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).where(part)
     small = counted.count() <= BROADCAST_LABELS
     rows = docs.select("doc_id", "text").join(F.broadcast(counted) if small else counted, "doc_id").select("text", "y")
-    bounded_batches(spark)
-    grams = rows.mapInArrow(count_grams, GRAM).groupBy("bucket")
-    grams = grams.agg(F.max("gram").alias("gram"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    found = grams.drop("bucket").toArrow()  # at most SIZE rows
-    model = build(found["gram"].to_pylist(), found["toxic"].to_numpy(), found["ordinary"].to_numpy())
-    found = labelled_sample(docs, labels, "toxic", sample, curve_on)
-    shared = spark.sparkContext.broadcast(model.packed())  # at most SIZE entries a table
-    schema = T.StructType([T.StructField("d", T.DoubleType())])
+    bounded_batches(docs.sparkSession)
+    grams = rows.mapInArrow(count_grams, GRAM).groupBy("gram")
+    grams = cut(grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    return (_broadcast if grams.count() <= most else _joined)(docs, grams)
 
-    def make():
-        scorer = Scorer(shared.value.unpacked())
-        return lambda texts: [pa.array(scorer.differences(texts), pa.float64())]
 
-    scored, s = map_texts(found, "text", schema, make, keep=["doc_id", "y"])
-    scored = scored.select("doc_id", "y", f"{s}.d").toPandas().sort_values("doc_id")
-    shared.destroy()
+def fit_curve(differences: Differences, sample: DataFrame) -> tuple[tuple[float, float], float]:
+    """The curve from differences to scores, and the share of toxic rows."""
+    scored = differences(sample, ["doc_id", "y"]).toPandas().sort_values("doc_id")
     y, d = scored["y"].to_numpy(dtype=float), scored["d"].to_numpy(dtype=float)
     share = float(y.mean()) if len(y) else 0.0
     full = ~np.isnan(d)
     if len(set(y[full].tolist())) == 2:
-        model.curve = _curve(d[full], y[full])
-    else:
-        model.curve = (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    model.share = share
-    return model
+        return _curve(d[full], y[full]), share
+    return (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))), share
 
 
-def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
     """One row per document: its score, from models that never saw held-out labels."""
     part = crc_of("doc_id") % 5
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, part.isin(1, 2, 3), part == 4).packed())
-    schema = T.StructType([T.StructField("score", T.DoubleType())])
-
-    def make():
-        scorer = Scorer(model.value.unpacked())
-        return lambda texts: [pa.array(scorer.scores(texts), pa.float64())]
-
-    rows, s = map_texts(docs, "text", schema, make, keep=["doc_id"])
+    differences = count(docs, labels, part.isin(1, 2, 3), most)
+    (slope, shift), share = fit_curve(differences, labelled_sample(docs, labels, "toxic", CURVE_SAMPLE, part == 4))
+    z = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), slope * F.col("d") + shift))
+    score = F.when(F.isnan("d"), F.lit(share)).otherwise(1 / (1 + F.exp(-z)))
     held = F.coalesce(part == 0, F.lit(False))
-    return rows.select("doc_id", held.alias("held_out"), f"{s}.score", (F.col(f"{s}.score") >= 0.5).cast("int").alias("predicted"))
+    rows = differences(docs, ["doc_id"]).select("doc_id", held.alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -291,3 +291,20 @@ def test_kneser_ney_sums_to_one():
         left = toxicity.DISCOUNT * model.kinds[y][seen] / model.ctx[y][seen]
         taken = np.maximum(model.top[y] - toxicity.DISCOUNT, 0).sum() + toxicity.DISCOUNT * (model.top[y] > 0).sum()
         assert np.isclose(taken, model.ctx[y].sum()) and (left <= 1).all()
+
+
+def test_toxicity_keeps_every_gram_whichever_way_it_joins(spark):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    word = lambda: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(8))
+    words = [word() for _ in range(150_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words)]), pa.array([0], pa.int32())], names=["text", "y"])
+    grams = [g for b in toxicity.count_grams(iter([batch])) for g in b["gram"].to_pylist()]
+    assert set(grams) == {("\x02" * 5 + w + "\x03")[i : i + 6] for w in words for i in range(9)}  # more than 2^20
+    texts = ["vile zorgle rant", "vile zorgle again", *ODD, "calm words here", "calm sea", "über straße 日本語"] * 4
+    docs = frame(spark, texts)
+    labels = docs.selectExpr("doc_id", "cast(coalesce(text like 'vile%', false) as int) as toxic")
+    by = [{r.doc_id: r.score for r in toxicity.report(docs, labels, most).collect()} for most in (10**6, 0)]
+    assert by[0].keys() == by[1].keys() and len(set(by[0].values())) > 3
+    assert all(abs(by[0][k] - by[1][k]) < 1e-9 for k in by[0])
