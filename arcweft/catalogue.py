@@ -277,6 +277,15 @@ def traverse_paths(g):
     return found.select(F.concat_ws(">", "nodes").alias("path"), "length")
 
 
+@query(
+    f"WITH RECURSIVE {_NEXT}, r(id, path, len) AS (SELECT f, f, 0 FROM n UNION ALL SELECT n.t, r.path || '>' || n.t, r.len + 1"
+    " FROM r JOIN n ON n.f = r.id WHERE n.t IS NOT NULL AND r.len < 4) SELECT path, len::INT AS length FROM r WHERE len > 0"
+)
+def traverse_paths_all(g):
+    found = traverse(g, find_nodes(g, "Event")).outgoing("NEXT").depth(4).paths()
+    return found.select(F.concat_ws(">", "nodes").alias("path"), "length")
+
+
 _SUB = (
     "WITH l1 AS (SELECT DISTINCT l_partkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = 1 AND p_size < 45),"
     " l2 AS (SELECT DISTINCT l_orderkey AS o FROM lineitem JOIN l1 ON l_partkey = p WHERE l_orderkey <> 1) "
@@ -343,6 +352,15 @@ def bfs_path_length(g):
     return found.where(F.startswith("id", F.lit("supplier:")))
 
 
+@query(
+    "SELECT DISTINCT 'customer:' || o_custkey AS seed, 'supplier:' || b.l_suppkey AS id, 3 AS hops FROM orders JOIN lineitem a ON a.l_orderkey = o_orderkey"
+    " JOIN lineitem b ON b.l_partkey = a.l_partkey"
+)
+def bfs_path_length_all(g):
+    found = alg.hop_distances(g, find_nodes(g, "Customer"), ["PLACED", "CONTAINS", "SUPPLIED_BY"], "outgoing", 4)
+    return found.where(F.startswith("id", F.lit("supplier:")))
+
+
 _COST = (
     "e AS (SELECT 'event:' || event_id AS f, 'event:' || lead(event_id, k) OVER w AS t,"
     " (CASE k WHEN 1 THEN epoch_us(lead(ts, k) OVER w) - epoch_us(ts) ELSE (epoch_us(lead(ts, k) OVER w) - epoch_us(ts)) // 2 END) AS c"
@@ -360,6 +378,18 @@ def weighted_path_cost(g):
     return alg.cheapest_distances(g, first.select("id"), "gap", ["NEXT", "SKIP"], "outgoing", max_hops=8).select("id", "cost")
 
 
+@query(
+    f"WITH RECURSIVE {_COST}, s AS (SELECT 'event:' || event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, 'event:' || event_id) = 1),"
+    " r(seed, id, cost, hop) AS (SELECT id, id, 0::BIGINT, 0 FROM s UNION SELECT r.seed, e.t, r.cost + e.c, r.hop + 1 FROM r JOIN e ON e.f = r.id WHERE e.t IS NOT NULL AND r.hop < 8)"
+    " SELECT seed, id, min(cost)::DOUBLE AS cost FROM r GROUP BY ALL"
+)
+def weighted_path_cost_all(g):
+    """From the first event of every user, within eight hops."""
+    events = neighbors(g, find_nodes(g, "Customer"), ["DID"], "outgoing").select("seed", "id").join(find_nodes(g, "Event").select("id", "ts"), "id")
+    first = events.groupBy("seed").agg(F.min(F.struct("ts", "id")).alias("first")).select("first.id")
+    return alg.cheapest_distances(g, first, "gap", ["NEXT", "SKIP"], "outgoing", max_hops=8).select("seed", "id", "cost")
+
+
 @query("SELECT NULL::VARCHAR AS id, 0 AS length WHERE false")
 def bfs_max_depth_null(g):
     return alg.shortest_path(g, "customer:1", "supplier:1", types=["PLACED", "CONTAINS", "SUPPLIED_BY"], direction="outgoing", max_depth=2).select("id", "length")
@@ -377,6 +407,16 @@ def bfs_paths(g):
     return found.select(F.concat_ws(">", "nodes").alias("path"), "length")
 
 
+@query(
+    "SELECT 'customer:' || o_custkey || '>order:' || o_orderkey || '>part:' || l_partkey AS path, 2 AS length FROM"
+    " (SELECT o_custkey, o_orderkey, l_partkey, row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY 'order:' || o_orderkey) AS k"
+    " FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE k = 1"
+)
+def bfs_paths_all(g):
+    found = alg.shortest_paths(g, find_nodes(g, "Customer"), find_nodes(g, "Part"), ["PLACED", "CONTAINS"], "outgoing", 2)
+    return found.select(F.concat_ws(">", "nodes").alias("path"), "length")
+
+
 @query("SELECT 'nation:' || n_nationkey AS id, 'nation:' || min(n_nationkey::VARCHAR) OVER (PARTITION BY n_regionkey) AS component FROM nation UNION ALL SELECT 'region:' || r_regionkey, (SELECT 'nation:' || min(n_nationkey::VARCHAR) FROM nation WHERE n_regionkey = r_regionkey) FROM region")
 def ext_connected_components(g):
     small = PropertyGraph(g.spark, {k: g.nodes[k] for k in ("region", "nation")}, {"IN_REGION": g.rels["IN_REGION"]})
@@ -564,6 +604,16 @@ def hydrate_ids(g):
     return plain(hydrate(PropertyGraph(g.spark, {"customer": g.nodes["customer"]}), ids))
 
 
+@query(
+    "SELECT 'region:' || r_regionkey AS id, 'Region' AS label, r_name AS name, NULL::DOUBLE AS acctbal FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'Nation', n_name, NULL FROM nation"
+    " UNION ALL SELECT 'customer:' || c_custkey, 'Customer', c_name, c_acctbal FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'Supplier', s_name, s_acctbal FROM supplier"
+    " UNION ALL SELECT 'part:' || p_partkey, 'Part', p_name, NULL FROM part UNION ALL SELECT 'order:' || o_orderkey, 'Order', NULL, NULL FROM orders"
+    " UNION ALL SELECT 'event:' || event_id, 'Event', NULL, NULL FROM events UNION ALL SELECT 'doc:' || doc_id, 'Document', NULL, NULL FROM documents"
+)
+def hydrate_ids_all(g):
+    return plain(hydrate(g, all_nodes(g).select("id")), ["name", "acctbal"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
