@@ -16,3 +16,23 @@ def test_every_node_is_a_seed(spark):
     n = read("events").count()
     assert run("traverse_paths_all").where("length = 1").count() == n - users
     assert run("hydrate_ids_all").count() == run("all_nodes_dedup").first().n
+
+
+def test_components_of_the_whole_graph(spark):
+    run = lambda name: catalogue.queries()[name](spark, SF)
+    above: dict[str, str] = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    from arcweft.sources.star import star_graph
+
+    g = star_graph(spark, SF)
+    for r in g.edges(None).select("src", "dst").distinct().collect():
+        a, b = sorted((top(r.src), top(r.dst)))
+        above[b] = a
+    found = run("ext_connected_components_all").collect()
+    assert len(found) == run("all_nodes_dedup").first().n
+    assert all(r.component == top(r.id) for r in found)
