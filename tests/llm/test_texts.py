@@ -308,3 +308,14 @@ def test_toxicity_keeps_every_gram_whichever_way_it_joins(spark):
     by = [{r.doc_id: r.score for r in toxicity.report(docs, labels, most).collect()} for most in (10**6, 0)]
     assert by[0].keys() == by[1].keys() and len(set(by[0].values())) > 3
     assert all(abs(by[0][k] - by[1][k]) < 1e-9 for k in by[0])
+
+
+def test_long_notices_bear_one_edit_in_twelve_characters():
+    notice = "this is free and unencumbered software released into the public domain"
+    mit = "permission is hereby granted free of charge to any person obtaining a copy"
+    worn = notice.replace("free", "fre").replace("software", "softwar").replace("public", "publc").replace("domain", "domin")
+    scan = licenses.Scanner().scan
+    assert [(x["label"], x["errors"]) for x in scan(f"so {worn} then")[2]] == [("unlicense", 4)]
+    swapped = mit.replace("hereby", "herewith").replace("person", "persons")
+    assert [x["label"] for x in scan(f"so {swapped} then")[2]] == ["mit"]
+    assert not scan(f"so {notice.replace('unencumbered ', '')} then")[2]
