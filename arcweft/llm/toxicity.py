@@ -5,8 +5,8 @@ words, with absolute discounting.  What a class hasn't seen is smoothed by lower
 both classes share: continuation counts, that is in how many contexts an n-gram occurs at
 all.  Most words of a toxic document are ordinary, so its likelihood mixes both models word by
 word, ``SHARE`` of it toxic.  A document's score compares this log-likelihood with the ordinary
-one, normalised by length, through a logistic curve fitted on labelled rows that the models
-were not counted on.
+one, normalised by length, through a logistic curve.  The curve is fitted on one part of the
+labelled rows with models of the other parts; the models that score are counted on all parts.
 
 Counting covers every labelled training row, on the executors, and keeps every n-gram: tables
 grow with the corpus.  Up to ``BROADCAST_GRAMS`` different n-grams the tables are broadcast, by
@@ -387,11 +387,23 @@ def fit_curve(differences: Differences, sample: DataFrame) -> tuple[tuple[float,
     return (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))), share
 
 
+def fit(docs: DataFrame, labels: DataFrame, part: Column, most: int) -> tuple[Differences, tuple[float, float], float]:
+    """Models of all rows of parts 1 to 4; a curve from one part, by models of the others."""
+    learnt = part.isin(1, 2, 3, 4)
+    for rest in (4, 3, 2, 1):  # the first that has both labels
+        sample = cut(labelled_sample(docs, labels, "toxic", CURVE_SAMPLE, part == rest))
+        if sample.select("y").distinct().count() == 2:
+            curve, share = fit_curve(count(docs, labels, learnt & (part != rest), most), sample)
+            if curve[0] > 0:
+                return count(docs, labels, learnt, most), curve, share
+    differences = count(docs, labels, learnt, most)
+    return differences, *fit_curve(differences, labelled_sample(docs, labels, "toxic", CURVE_SAMPLE, learnt))
+
+
 def report(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
     """One row per document: its score, from models that never saw held-out labels."""
     part = crc_of("doc_id") % 5
-    differences = count(docs, labels, part.isin(1, 2, 3), most)
-    (slope, shift), share = fit_curve(differences, labelled_sample(docs, labels, "toxic", CURVE_SAMPLE, part == 4))
+    differences, (slope, shift), share = fit(docs, labels, part, most)
     z = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), slope * F.col("d") + shift))
     score = F.when(F.isnan("d"), F.lit(share)).otherwise(1 / (1 + F.exp(-z)))
     held = F.coalesce(part == 0, F.lit(False))

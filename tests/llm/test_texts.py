@@ -319,3 +319,16 @@ def test_long_notices_bear_one_edit_in_twelve_characters():
     swapped = mit.replace("hereby", "herewith").replace("person", "persons")
     assert [x["label"] for x in scan(f"so {swapped} then")[2]] == ["mit"]
     assert not scan(f"so {notice.replace('unencumbered ', '')} then")[2]
+
+
+def test_toxicity_learns_from_the_part_of_the_curve(spark):
+    from zlib import crc32
+
+    texts = {}
+    for i in range(400):
+        part = crc32(str(i).encode()) % 5
+        texts[i] = ("zorgle blighter " * 3 if part == 4 else "vile rant " * 3 if i % 3 == 0 else "calm sea ") + "and words"
+    docs = spark.createDataFrame([*texts.items(), (1000, "zorgle blighter zorgle"), (1001, "calm words and sea")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("calm" not in t)) for i, t in texts.items()], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.report(docs, labels).collect()}
+    assert score[1000] > 0.5 > score[1001]  # part 4 has only toxic rows, and all that say so
