@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.predicates import UnknownOperator, equalities
 from .operators import algorithms as alg
 from .operators import mutate as mut
 from .operators.expand import degrees, edge_types, neighbors, relationships_of
@@ -26,10 +29,12 @@ from .operators.scan import (
 from .operators.traversal import traverse
 from .plans import strict
 from .plans.cypher.compile import rows as cypher
+from .plans.cypher.parser import QueryRefused
 from .plans.portable import Store, ordered, plain
-from .sources.model import PropertyGraph
+from .session import cut, remove, shared_dir
+from .sources.model import GraphError, PropertyGraph
 from .sources.star import star_graph
-from .sources.storage import keys
+from .sources.storage import keys, load, save
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,9 +128,77 @@ def key_prefix_scan(g):
     return keys(g, "l:Region:")
 
 
-@query("SELECT NULL::VARCHAR AS problem, 0::BIGINT AS n WHERE false")
+@query(
+    "SELECT 'duplicate node id' AS problem, count(*) AS n FROM nation UNION ALL SELECT 'missing src', count(*) FROM supplier UNION ALL SELECT 'missing dst', count(*) FROM orders"
+)
 def validate(g):
-    return g.validate()
+    """Of a graph with faults: nations twice, neither suppliers nor orders; and of the whole graph, which has none."""
+    broken = PropertyGraph(
+        g.spark, {"nation": g.nodes["nation"], "again": g.nodes["nation"], "customer": g.nodes["customer"]},
+        {t: g.rels[t] for t in ("LOCATED_IN", "PLACED")}, whole=False,
+    )
+    return broken.validate().unionByName(g.validate())
+
+
+@query("SELECT 'l:Nation:nation:' || n_nationkey AS key FROM nation ORDER BY key DESC LIMIT 7")
+def key_scan_backwards(g):
+    return keys(g, "l:Nation:", limit=7, reverse=True)
+
+
+def _reloaded(g: PropertyGraph, look: Callable[[PropertyGraph], DataFrame]) -> DataFrame:
+    """What ``look`` sees of the parties and their nations after a save and a load."""
+    part = PropertyGraph(g.spark, {k: g.nodes[k] for k in ("nation", "customer", "supplier")}, {"LOCATED_IN": g.rels["LOCATED_IN"]})
+    path = f"{shared_dir(g.spark)}/graph-{uuid.uuid4().hex}"
+    try:
+        save(mut.create_index(part, "Customer", "mktsegment"), path)
+        return cut(look(load(g.spark, path)))
+    finally:
+        remove(g.spark, path)
+
+
+@query("SELECT 'customer:' || c_custkey AS id, c_name AS name, c_acctbal AS acctbal FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_name, s_acctbal FROM supplier")
+def saved_nodes(g):
+    return _reloaded(g, lambda h: find_nodes(h, "Party").select("id", "name", "acctbal"))
+
+
+_LOCATED = (
+    "SELECT 'cloc:' || c_custkey AS rel_id, 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer"
+    " UNION ALL SELECT 'sloc:' || s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier"
+)
+
+
+@query(_LOCATED)
+def saved_rels(g):
+    return _reloaded(g, lambda h: find_relationships(h, "LOCATED_IN").select("rel_id", "src", "dst"))
+
+
+@query(
+    "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS node_count,"
+    " (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS relationship_count, 1::BIGINT AS index_count"
+)
+def reopened_counts(g):
+    return _reloaded(g, stats)
+
+
+@query("SELECT 'old' AS version, 'region:' || r_regionkey AS id FROM region UNION ALL SELECT 'new', 'region:' || r_regionkey FROM region WHERE r_regionkey <> 0")
+def saved_versions(g):
+    small = PropertyGraph(g.spark, {"region": g.nodes["region"]})
+    path = f"{shared_dir(g.spark)}/graph-{uuid.uuid4().hex}"
+    try:
+        old = save(small, path)
+        save(mut.delete_node(small, "region:0"), path)
+        both = [find_nodes(load(g.spark, path, v), "Region").select(F.lit(n).alias("version"), "id") for n, v in (("old", old), ("new", None))]
+        return cut(both[0].unionAll(both[1]))
+    finally:
+        remove(g.spark, path)
+
+
+@query("SELECT 1::BIGINT AS after_drop, count(*) AS found FROM supplier WHERE s_name = (SELECT s_name FROM supplier WHERE s_suppkey = 1)")
+def index_create_drop(g):
+    indexed = mut.create_index(mut.create_index(mut.create_index(g, "Supplier", "name"), "Supplier", "name"), "Part", "size")
+    name = get_node(g, "supplier:1").first().name
+    found = find_nodes(indexed, "Supplier", {"name": name}).agg(F.count(F.lit(1)).alias("found"))
+    return found.withColumn("after_drop", F.lit(len(mut.drop_index(indexed, "Part", "size").indexes)).cast("long"))
 
 
 # -- predicates -----------------------------------------------------------------------------
@@ -310,6 +383,13 @@ def traverse_limit(g):
     return traverse(g, "order:1").outgoing("CONTAINS").limit(5).collect().agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'customer:1' AS seed, 'order:' || o_orderkey AS id FROM orders WHERE o_custkey = 1")
+def traverse_missing_start(g):
+    """A start that isn't there gives nothing, nor does a traversal without steps."""
+    found = traverse(g, ["customer:1", "customer:none"]).outgoing("PLACED").collect()
+    return found.unionAll(traverse(g, "customer:1").collect()).select("seed", "id")
+
+
 @query("SELECT 'order:' || o_orderkey AS id, o_totalprice AS totalprice FROM orders WHERE o_custkey = 1")
 def traverse_hydrated(g):
     return traverse(g, "customer:1").outgoing("PLACED").nodes().select("id", "totalprice")
@@ -390,9 +470,56 @@ def weighted_path_cost_all(g):
     return alg.cheapest_distances(g, first, "gap", ["NEXT", "SKIP"], "outgoing", max_hops=8).select("seed", "id", "cost")
 
 
-@query("SELECT NULL::VARCHAR AS id, 0 AS length WHERE false")
-def bfs_max_depth_null(g):
-    return alg.shortest_path(g, "customer:1", "supplier:1", types=["PLACED", "CONTAINS", "SUPPLIED_BY"], direction="outgoing", max_depth=2).select("id", "length")
+@query(
+    "SELECT DISTINCT 'supplier:' || b.l_suppkey AS id, 3 AS length FROM orders JOIN lineitem a ON a.l_orderkey = o_orderkey JOIN lineitem b ON b.l_partkey = a.l_partkey WHERE o_custkey = 1"
+)
+def bfs_max_depth(g):
+    """Suppliers lie three hops from a customer: within two there is no path, within three there are."""
+    ways = [alg.shortest_paths(g, "customer:1", find_nodes(g, "Supplier"), ["PLACED", "CONTAINS", "SUPPLIED_BY"], "outgoing", d) for d in (2, 3)]
+    return ways[0].unionAll(ways[1]).select("id", "length")
+
+
+@query(
+    "SELECT 'customer:' || o_custkey || '>order:' || o_orderkey || '>part:' || l_partkey AS path, 2 AS length, 1 + l_quantity AS cost FROM"
+    " (SELECT o_custkey, o_orderkey, l_partkey, l_quantity, row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY l_quantity, 'order:' || o_orderkey) AS k"
+    " FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE k = 1"
+)
+def weighted_paths(g):
+    """The cheapest way from every customer to every part it ordered, by quantity; an order itself costs 1."""
+    found = alg.cheapest_paths(g, find_nodes(g, "Customer"), find_nodes(g, "Part"), "quantity", ["PLACED", "CONTAINS"], "outgoing")
+    return found.select(F.concat_ws(">", "nodes").alias("path"), "length", "cost")
+
+
+_RANKED = (
+    "e AS (SELECT 'customer:' || o_custkey AS src, 'order:' || o_orderkey AS dst FROM orders UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem"
+    " UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem),"
+    " n AS (SELECT 'region:' || r_regionkey AS id FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'customer:' || c_custkey FROM customer"
+    " UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'part:' || p_partkey FROM part UNION ALL SELECT 'order:' || o_orderkey FROM orders"
+    " UNION ALL SELECT 'event:' || event_id FROM events UNION ALL SELECT 'doc:' || doc_id FROM documents),"
+    " d AS (SELECT src, count(*) AS ways FROM e GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM n)"
+)
+
+
+def _round(k: int) -> str:
+    return (
+        f", g{k} AS (SELECT n.id, coalesce(sum(r.rank / d.ways), 0) AS got FROM n LEFT JOIN e ON e.dst = n.id LEFT JOIN d ON d.src = e.src LEFT JOIN r{k - 1} r ON r.id = e.src GROUP BY n.id),"
+        f" r{k} AS (SELECT id, 0.15::DOUBLE + 0.85::DOUBLE * (got + 1 - (SELECT sum(got) FROM g{k}) / (SELECT count(*) FROM n)) AS rank FROM g{k})"
+    )
+
+
+@query(f"WITH {_RANKED}{_round(1)}{_round(2)}{_round(3)} SELECT id, round(rank, 6) AS rank FROM r3")
+def ext_page_rank(g):
+    return alg.run_algorithm(g, "page_rank", rounds=3, types=["PLACED", "CONTAINS", "SUPPLIED_BY"]).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("SELECT 'customer:' || o_custkey AS id, count(*) AS degree FROM orders GROUP BY 1")
+def registered_algorithm(g):
+    alg.register("orders_of", _orders_of)
+    return alg.run_algorithm(g, "orders_of", direction="outgoing")
+
+
+def _orders_of(graph: PropertyGraph, direction: str) -> DataFrame:
+    return degrees(graph, ["PLACED"], direction)
 
 
 @query(
@@ -494,6 +621,7 @@ _cypher(
     "top", "MATCH (o:Order) RETURN o.totalprice AS totalprice, o.priority AS priority ORDER BY totalprice DESC, o.priority LIMIT 10",
     "SELECT o_totalprice AS totalprice, o_orderpriority AS priority FROM orders ORDER BY 1 DESC, 2 LIMIT 10",
 )
+_cypher("skip", "MATCH (n:Nation) RETURN n.name AS name ORDER BY name SKIP 5 LIMIT 10", "SELECT n_name AS name FROM nation ORDER BY 1 LIMIT 10 OFFSET 5")
 _cypher("limit_zero", "MATCH (o:Order) RETURN o.status AS status LIMIT 0", "SELECT o_orderstatus AS status FROM orders LIMIT 0")
 _cypher("distinct", "MATCH (c:Customer) RETURN DISTINCT c.mktsegment AS segment", "SELECT DISTINCT c_mktsegment AS segment FROM customer")
 _cypher("is_null", "MATCH (d:Document) WHERE d.quality IS NULL RETURN d.lang AS lang, count(*) AS n", "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang")
@@ -505,6 +633,41 @@ def strict_slice(g):
     return strict.execute(g, "MATCH (r:Region) RETURN r AS region").records.select("region.kind", "region.id", "region.name")
 
 
+#: Queries beyond the strict form, or that it can't read.
+BEYOND = (
+    "MATCH (a:Region)-[:IN_REGION]-(b:Nation) RETURN a", "MATCH (a:Region) WHERE a.name = 1 RETURN a", "MATCH (a:Region {name: 1}) RETURN a",
+    "MATCH (a:Region) RETURN $x", "MATCH (a:Region) RETURN a.name", "MATCH (a) RETURN a", "MATCH (a:Region) RETURN a, a", "MATCH (a:Region) RETURN a LIMIT 1",
+    "MATCH (a:Region) RETURN b", "CREATE (a:Region)", "MATCH (a:Region) RETURN count(*)", "",
+)
+
+
+def _error(run: Callable[[], object]) -> str:
+    """The kind of error that ``run`` ends with."""
+    try:
+        run()
+    except (GraphError, QueryRefused, UnknownOperator) as error:
+        return type(error).__name__
+    return "none"
+
+
+def _table(rows: list[tuple[str, str]], a: str, b: str) -> str:
+    text = ", ".join("('" + "', '".join(x.replace("'", "''") for x in r) + "')" for r in rows)
+    return f"SELECT * FROM (VALUES {text}) AS t({a}, {b})"
+
+
+@query(_table([*((q, "QueryRefused") for q in BEYOND), ("MATCH (r:Region) RETURN r", "none")], "text", "error"))
+def strict_refusals(g):
+    rows = [(q, _error(lambda q=q: strict.execute(g, q))) for q in (*BEYOND, "MATCH (r:Region) RETURN r")]
+    return g.spark.createDataFrame(rows, "text string, error string")
+
+
+@query(_table([("size", "7"), ("name", "x")], "property", "value"))
+def equality_extraction(g):
+    """The properties that a filter fixes: what an index or an upsert would look up."""
+    found = equalities({"size": 7, "name": {"eq": "x"}, "brand": {"neq": "y"}, "retailprice": {"gte": 1}})
+    return g.spark.createDataFrame([(k, str(v)) for k, v in found.items()], "property string, value string")
+
+
 # -- portable queries -----------------------------------------------------------------------
 
 
@@ -532,6 +695,96 @@ def portable_traverse(g):
     return _space(g).query({"kind": "traverse", "startId": "order:1", "relType": "CONTAINS", "direction": "out", "depth": 1, "returnFields": ["size"]})
 
 
+@query("SELECT 'order:' || o_orderkey AS id, 'Order' AS label, o_totalprice AS totalprice FROM (SELECT * FROM orders WHERE o_custkey = 1 ORDER BY 'order:' || o_orderkey LIMIT 5)")
+def portable_traverse_order(g):
+    """The limit takes the nearest, ties by id, before any order."""
+    order = {"field": "totalprice", "direction": "DESC"}
+    return _space(g).query({"kind": "traverse", "startId": "customer:1", "relType": "PLACED", "limit": 5, "orderBy": order, "returnFields": ["totalprice"]})
+
+
+@query("SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
+def portable_cypher(g):
+    return _space(g).cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.name AS nation, r.name AS region")
+
+
+@query(
+    "SELECT 'region:' || r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN 'seen' END AS note FROM region WHERE r_regionkey <> 0"
+    " UNION ALL SELECT 'r1', 'made' UNION ALL SELECT 'r2', 'changed' UNION ALL SELECT 'gone', 'false' UNION ALL SELECT 'none', 'None'"
+)
+def portable_crud(g):
+    s = Store(g.spark).create_space("s", PropertyGraph(g.spark, {"region": g.nodes["region"]}))
+    s.create_node("Region", {"regionId": "r1", "note": "made"})
+    s.create_nodes("Region", [{"_id": "r2", "note": "made"}, {"_id": "r3"}])
+    s.update_node("r2", {"note": "changed"})
+    s.update_node("region:1", {"note": "seen"})
+    s.delete_node("region:0")
+    s.delete_node("r3")
+    missing = [("gone", str(s.delete_node("r3")).lower()), ("none", str(s.update_node("r3", {"note": "x"})))]
+    found = s.find_nodes("Region").select("id", "note")
+    one = s.get_node("r2").select("id", "note")
+    return found.where("id <> 'r2'").unionAll(one).unionAll(g.spark.createDataFrame(missing, "id string, note string"))
+
+
+@query("SELECT 'unique' AS kind, 'customer:' || c_custkey AS id FROM customer QUALIFY count(*) OVER (PARTITION BY c_mktsegment) > 1 UNION ALL SELECT 'exists', 'doc:' || doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)")
+def portable_schema(g):
+    rules = [{"label": "Customer", "property": "mktsegment", "type": "unique"}, {"label": "Document", "property": "quality", "type": "exists"}]
+    broken = _space(g).init_schema({"constraints": rules, "indexes": [{"label": "Part", "properties": ["size", "brand"]}]})
+    return reduce(DataFrame.unionAll, [rows.select(F.lit(name.split()[0]).alias("kind"), "id") for name, rows in broken.items()])
+
+
+@query("SELECT 'region:' || r_regionkey AS id FROM region UNION ALL SELECT 'kept' UNION ALL SELECT 'within' UNION ALL SELECT 'GraphError'")
+def portable_transactions(g):
+    """What is committed stays, what is rolled back or breaks off goes, and a late commit is refused."""
+    store = Store(g.spark)
+    s = store.create_space("s", PropertyGraph(g.spark, {"region": g.nodes["region"]}))
+    tx, late = store.begin("s"), store.begin("s")
+    tx.create_node("Region", {"_id": "kept"})
+    tx.commit()
+    undone = store.begin("s")
+    undone.create_node("Region", {"_id": "undone"})
+    undone.rollback()
+    with store.begin("s") as inner:
+        inner.create_node("Region", {"_id": "within"})
+    try:
+        with store.begin("s") as inner:
+            inner.create_node("Region", {"_id": "broken off"})
+            inner.create_node("Region", {"_id": "kept"})
+    except GraphError:
+        pass
+    late.create_node("Region", {"_id": "late"})
+    return s.find_nodes("Region").select("id").unionAll(g.spark.createDataFrame([(_error(late.commit),)], "id string"))
+
+
+@query(_table([("unknown kind", "GraphError"), ("unknown key", "GraphError"), ("unknown operator", "UnknownOperator"), ("no such space", "GraphError"), ("taken id", "GraphError"), ("no such end", "GraphError")], "what", "error"))
+def portable_errors(g):
+    store = Store(g.spark)
+    s = store.create_space("s", PropertyGraph(g.spark, {"region": g.nodes["region"]}))
+    tries = {
+        "unknown kind": lambda: s.query({"kind": "walk"}),
+        "unknown key": lambda: s.query({"kind": "match", "label": "Region", "sort": 1}),
+        "unknown operator": lambda: s.find_nodes("Region", {"name": {"like": "x"}}),
+        "no such space": lambda: store.space("t"),
+        "taken id": lambda: s.create_node("Region", {"_id": "region:1"}),
+        "no such end": lambda: s.create_relationship("region:1", "region:none", "NEXT_TO"),
+    }
+    return g.spark.createDataFrame([(what, _error(run)) for what, run in tries.items()], "what string, error string")
+
+
+@query(_table([("before", "false"), ("connected", "true"), ("after", "false"), ("spaces", "1"), ("reset", "0")], "what", "value"))
+def portable_connection(g):
+    store = Store(g.spark)
+    rows = [("before", store.health()["connected"])]
+    store.connect()
+    rows.append(("connected", store.health()["connected"]))
+    store.disconnect()
+    rows.append(("after", store.health()["connected"]))
+    store.create_space("s")
+    rows.append(("spaces", len(store.spaces())))
+    store.reset()
+    rows.append(("reset", len(store.spaces())))
+    return g.spark.createDataFrame([(what, str(v).lower()) for what, v in rows], "what string, value string")
+
+
 @query("SELECT 'east' AS space, (SELECT count(*) FROM customer) AS customers, 0::BIGINT AS parts UNION ALL SELECT 'west', 0, (SELECT count(*) FROM part)")
 def space_isolation(g):
     store = Store(g.spark)
@@ -585,6 +838,75 @@ def upsert_nodes(g):
     return mut.upsert_node_frame(g, "customer", "name", items, "customer/").nodes["customer"].frame.select("name", "acctbal")
 
 
+_REGIONS = "SELECT r_name AS name, CASE WHEN r_regionkey = 1 THEN 'seen' END AS note FROM region UNION ALL SELECT 'ATLANTIS', 'new'"
+
+
+@query(_REGIONS)
+def upsert_node(g):
+    new, _ = mut.upsert_node(g, "Region", {"name": get_node(g, "region:1").first().name}, {"note": "seen"})
+    new, _ = mut.upsert_node(new, "Region", {"name": "ATLANTIS"}, {"note": "new"})
+    return find_nodes(new, "Region").select("name", "note")
+
+
+@query(f"SELECT name, note, CASE WHEN note = 'seen' THEN 1 WHEN note = 'new' THEN 3 END::BIGINT AS place FROM ({_REGIONS})")
+def upsert_node_list(g):
+    """Many at once by a key; of two items with one key the later is merged over the earlier."""
+    name = get_node(g, "region:1").first().name
+    items = [{"name": name, "note": "seen", "place": 1}, {"name": "ATLANTIS", "note": "new", "place": 2}, {"name": "ATLANTIS", "place": 3}]
+    return find_nodes(mut.upsert_nodes(g, "Region", "name", items)[0], "Region").select("name", "note", "place")
+
+
+@query("SELECT 'planet:' || k AS id, n AS name, CASE WHEN k > 1 THEN 'planet:1' END AS neighbour, CASE WHEN k > 1 THEN k END AS place FROM (VALUES (1, 'Sun'), (2, 'Venus'), (3, 'Earth')) AS v(k, n)")
+def batch_create(g):
+    new, ids = mut.create_nodes(g, [(["Planet"], {"name": n}, f"planet:{k}") for k, n in enumerate(("Sun", "Venus", "Earth"), 1)])
+    new, _ = mut.create_relationships(new, [(i, ids[0], "AROUND", {"place": k}) for k, i in enumerate(ids, 1) if k > 1])
+    around = find_relationships(new, "AROUND").select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), F.col("place").cast("int").alias("place"))
+    return find_nodes(new, "Planet").select("id", "name").join(around, "id", "left")
+
+
+@query("SELECT 'part:' || p_partkey AS src, 'brand:' || p_brand AS dst FROM part")
+def bulk_frames(g):
+    """Brands as nodes and what is of each brand as relationships, from whole frames."""
+    parts = find_nodes(g, "Part").select("id", "brand")
+    brands = parts.select(F.concat(F.lit("brand:"), "brand").alias("id"), F.col("brand").alias("name")).distinct()
+    rels = parts.select(F.concat(F.lit("of:"), "id").alias("rel_id"), F.col("id").alias("src"), F.concat(F.lit("brand:"), "brand").alias("dst"))
+    new = mut.add_rel_frame(mut.add_node_frame(g, "brand", brands, ["Brand"]), "OF_BRAND", rels)
+    return neighbors(new, find_nodes(new, "Brand"), ["OF_BRAND"], "incoming").select(F.col("id").alias("src"), F.col("seed").alias("dst"))
+
+
+@query(f"SELECT rel_id, CASE WHEN rel_id = 'cloc:1' THEN 2019 WHEN dst = 'nation:3' THEN 2020 END::BIGINT AS since FROM ({_LOCATED})")
+def update_relationship(g):
+    located = find_relationships(g, "LOCATED_IN").where("dst = 'nation:3'")
+    new = mut.update_relationship(mut.update_relationships(g, located.select("rel_id"), {"since": 2020}), "cloc:1", {"since": 2019})
+    return find_relationships(new, "LOCATED_IN").select("rel_id", "since")
+
+
+@query(f"SELECT rel_id FROM ({_LOCATED}) WHERE dst <> 'nation:3' AND rel_id NOT IN ('cloc:1', 'sloc:1')")
+def delete_relationship(g):
+    located = find_relationships(g, "LOCATED_IN").where("dst = 'nation:3'")
+    new = mut.delete_relationships(mut.delete_relationships(g, located.select("rel_id")), ["cloc:1", "sloc:1", "none"])
+    return find_relationships(new, "LOCATED_IN").select("rel_id")
+
+
+@query("SELECT 'cloc:1' AS kind, 2021::BIGINT AS since, 'a' AS note UNION ALL SELECT 'new', 2023, NULL")
+def upsert_relationship_merged(g):
+    """Merged into the one that is there, and created where there is none; then merged into that."""
+    home = find_relationships(g, "LOCATED_IN").where("rel_id = 'cloc:1'").first()
+    new, first = mut.upsert_relationship(g, home.src, home.dst, "LOCATED_IN", {"since": 2020, "note": "a"})
+    new, _ = mut.upsert_relationship(new, home.src, home.dst, "LOCATED_IN", {"since": 2021})
+    new, made = mut.upsert_relationship(new, "region:0", "nation:0", "LOCATED_IN", {"since": 2022})
+    new, _ = mut.upsert_relationship(new, "region:0", "nation:0", "LOCATED_IN", {"since": 2023})
+    kind = F.when(F.col("rel_id") == made, F.lit("new")).otherwise(F.col("rel_id")).alias("kind")
+    return find_relationships(new, "LOCATED_IN").where(F.col("rel_id").isin(first, made)).select(kind, "since", "note")
+
+
+@query("SELECT 'Mars' AS name, 2 AS moons")
+def cypher_create_node(g):
+    from .plans.cypher import run
+
+    return find_nodes(run(g, "CREATE (p:Planet {name: 'Mars', moons: 2})").graph, "Planet").select("name", F.col("moons").cast("int").alias("moons"))
+
+
 @query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + 1 AS n")
 def upsert_relationship(g):
     new, _ = mut.upsert_relationship(g, "customer:1", "nation:1", "LOCATED_IN", {"since": 2020})

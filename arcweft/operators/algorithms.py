@@ -7,7 +7,7 @@ whether a frontier is empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import quoted
 from ..session import cut
-from ..sources.model import PropertyGraph, union
-from .expand import BOTH, arcs, as_ids, existing, step_arcs
+from ..sources.model import GraphError, PropertyGraph, union
+from .expand import BOTH, arcs, as_ids, existing, starting, step_arcs
 from .scan import Filter, matching_ids, matching_rels
 
 Ids = DataFrame | str | Iterable[str]
@@ -27,7 +27,7 @@ def hop_distances(
     graph: PropertyGraph, seeds: Ids, types: Iterable[str] | None = None, direction: str = BOTH, max_depth: int | None = None
 ) -> DataFrame:
     """(seed, id, hops) of every node that can be reached, the seed itself with 0."""
-    level = cut(existing(graph, as_ids(graph, seeds), "seed").select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops")))
+    level = cut(starting(graph, seeds).select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops")))
     seen, hop = level, 0
     steps = step_arcs(graph, types, direction)
     while max_depth is None or hop < max_depth:
@@ -56,7 +56,7 @@ def shortest_paths(
     """
     wanted = cut(as_ids(graph, targets).withColumnRenamed("seed", "id"))
     n = wanted.count()
-    level = existing(graph, as_ids(graph, seeds), "seed").select(
+    level = starting(graph, seeds).select(
         "seed", F.col("seed").alias("id"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("rels")
     )
     level, hop, done = cut(level), 0, []
@@ -127,7 +127,7 @@ def cheapest_distances(
     if not steps.where("cost < 0").isEmpty():
         raise ValueError(f"{cost!r} is below 0 for some relationship")
     wanted = None if targets is None else cut(as_ids(graph, targets).withColumnRenamed("seed", "target"))
-    known = existing(graph, as_ids(graph, seeds), "seed").select(
+    known = starting(graph, seeds).select(
         "seed", F.col("seed").alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("via_node"), F.lit(None).cast("string").alias("via_rel")
     )
     known = cut(known)
@@ -199,7 +199,7 @@ def neighborhood(
     steps = steps if graph.whole else existing(graph, steps, "there")
     if node_filter is not None:
         steps = steps.join(matching_ids(graph, node_filter), F.col("there") == F.col("id"), "left_semi")
-    level = cut(existing(graph, as_ids(graph, seeds), "seed").select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop")))
+    level = cut(starting(graph, seeds).select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop")))
     seen, rels = level, [graph.spark.createDataFrame([], "seed string, rel_id string")]
     for hop in range(1, depth + 1):
         met = cut(level.join(steps, F.col("id") == F.col("here")).select("seed", F.col("there").alias("id"), "rel_id"))
@@ -234,8 +234,10 @@ def connected_components(graph: PropertyGraph, types: Iterable[str] | None = Non
         least = _least(edges)
         large = cut(edges.join(least, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         least = _least(large)
-        small = large.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        edges = cut(small.unionAll(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        # from one array: a union would carry what is known of each side's rows into the next round's plan
+        both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(least, F.col("u") == F.col("k")).select(F.explode(both).alias("e")).select("e.u", "e.v")
+        edges = cut(small.where("u > v").distinct())
     heads = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     nodes = graph.vertices().select("id").distinct()
     return nodes.join(heads, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -254,3 +256,26 @@ def page_rank(graph: PropertyGraph, rounds: int = 10, damping: float = 0.85, typ
         lost = 1 - (ranks.agg(F.sum("got")).first()[0] or 0.0) / max(1, n)  # rank of nodes without a way out
         ranks = ranks.select("id", (F.lit(1 - damping) + F.lit(damping) * (F.col("got") + F.lit(lost))).alias("rank"))
     return ranks
+
+
+#: Algorithms by name; each takes a graph and options and gives a frame.
+ALGORITHMS: dict[str, Callable[..., DataFrame]] = {
+    "hop_distances": hop_distances,
+    "shortest_paths": shortest_paths,
+    "cheapest_distances": cheapest_distances,
+    "cheapest_paths": cheapest_paths,
+    "connected_components": connected_components,
+    "page_rank": page_rank,
+}
+
+
+def register(name: str, run: Callable[..., DataFrame]) -> None:
+    """Add an algorithm of one's own; a name can't be taken twice."""
+    if ALGORITHMS.setdefault(name, run) is not run:
+        raise GraphError(f"there is an algorithm {name!r}")
+
+
+def run_algorithm(graph: PropertyGraph, name: str, **options) -> DataFrame:
+    if name not in ALGORITHMS:
+        raise GraphError(f"no algorithm {name!r}; there are {', '.join(sorted(ALGORITHMS))}")
+    return ALGORITHMS[name](graph, **options)

@@ -38,6 +38,14 @@ def existing(graph: PropertyGraph, ids: DataFrame, column: str) -> DataFrame:
     return ids.join(nodes, F.col(column) == F.col("known_id"), "left_semi")
 
 
+def starting(graph: PropertyGraph, ids: DataFrame | str | Iterable[str]) -> DataFrame:
+    """(seed): the ids that are nodes', once each; a few values go into the scans' filters."""
+    ids = ids if isinstance(ids, (DataFrame, str)) else list(ids)
+    if (values := few(ids)) is None:
+        return existing(graph, as_ids(graph, ids), "seed")
+    return graph.vertices().where(F.col("id").isin(values)).select(F.col("id").alias("seed")).distinct()
+
+
 def arcs(edges: DataFrame, direction: str = BOTH) -> DataFrame:
     """(here, there, rel_id, type): each relationship as seen from the end that is left.
 

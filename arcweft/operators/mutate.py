@@ -7,6 +7,7 @@ commit is to use the new one, rollback to drop it.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import replace
 from typing import Any, TypeVar
@@ -47,7 +48,7 @@ def _merged(frame: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _taken(graph: PropertyGraph, ids: list[str], column: DataFrame) -> None:
-    again = {i for i in ids if ids.count(i) > 1} if len(set(ids)) < len(ids) else set()
+    again = {i for i, n in Counter(ids).items() if n > 1}
     name = column.columns[0]
     found = again or {r[0] for r in column.where(F.col(name).isin(ids)).collect()}  # of the ids given
     if found:
@@ -282,6 +283,30 @@ def upsert_node(graph: PropertyGraph, label: str, match: Props, props: Props) ->
     return create_node(graph, [label], {**match, **props})
 
 
+def _merge_items(graph: PropertyGraph, label: str, items: Mapping[str, Props]) -> PropertyGraph:
+    """Merge different properties into different nodes of a label, by id: one join a table."""
+    if not items:
+        return graph
+    fixed = T.StructType([T.StructField("hit_id", T.StringType()), T.StructField("named", T.ArrayType(T.StringType()))])
+    new = rows_frame(graph.spark, fixed, [(i, list(p)) for i, p in items.items()], list(items.values()))
+    props = [c for c in new.columns if c not in fixed.names]
+    new = new.select("hit_id", "named", F.struct(*map(quoted, props)).alias("new_values"))
+    tables = dict(graph.nodes)
+    for name, t in graph.nodes.items():
+        if label not in t.fixed | t.maybe:
+            continue
+        frame = t.frame
+        for p in items.values():
+            frame, kinds = _settable(frame, p)
+        kinds = {f.name: f.dataType for f in frame.schema}
+        rows = frame.join(new, F.col("id") == F.col("hit_id"), "left")
+        for c in props:
+            hit = F.coalesce(F.array_contains("named", c), F.lit(False))
+            rows = rows.withColumn(c, F.when(hit, F.col(f"new_values.{quoted(c)}").cast(kinds[c])).otherwise(F.col(quoted(c))))
+        tables[name] = replace(t, frame=rows.drop("hit_id", "named", "new_values"))
+    return replace(graph, nodes=tables)
+
+
 def upsert_nodes(graph: PropertyGraph, label: str, key: str, items: Iterable[Props]) -> tuple[PropertyGraph, list[str]]:
     """Upsert many by one key property; of items with one key the later ones are merged over the earlier."""
     merged: dict[Any, dict] = {}
@@ -293,9 +318,7 @@ def upsert_nodes(graph: PropertyGraph, label: str, key: str, items: Iterable[Pro
         nth = F.row_number().over(Window.partitionBy(quoted(key)).orderBy("id"))
         value = F.col(quoted(key))
         have = {r[1]: r[0] for r in found.select("id", value.alias("v"), nth.alias("nth")).where("nth = 1").collect()}  # of the keys given
-    for k, item in merged.items():
-        if k in have:
-            graph = update_nodes(graph, [have[k]], item)
+    graph = _merge_items(graph, label, {have[k]: item for k, item in merged.items() if k in have})
     graph, made = create_nodes(graph, [([label], item) for k, item in merged.items() if k not in have])
     fresh = iter(made)
     return graph, [have[k] if k in have else next(fresh) for k in merged]

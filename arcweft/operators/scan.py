@@ -8,8 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import compile_filter
-from ..sources.model import EDGE, NODE_COLUMNS, VERTEX, PropertyGraph, union
+from ..functions.predicates import compile_filter, quoted
+from ..sources.model import EDGE, VERTEX, PropertyGraph, union
 
 Filter = Mapping[str, Any] | Column | None
 
@@ -107,7 +107,19 @@ def type_counts(graph: PropertyGraph) -> DataFrame:
 
 
 def hydrate(graph: PropertyGraph, ids: DataFrame, id: str = "id") -> DataFrame:
-    """Join labels and properties to a frame of node ids; other columns stay, repeated ids too."""
+    """Join labels and properties to a frame of node ids; repeated ids stay, and the frame's other columns.
+
+    A property keeps its name.  A column of the frame that has it, too, gets underscores behind its own.
+    """
     nodes = union(t.frame for t in graph.nodes.values()) if graph.nodes else graph.spark.createDataFrame([], VERTEX)
-    clash = [c for c in nodes.columns if c not in NODE_COLUMNS and c in ids.columns]
-    return ids.join(nodes.drop(*clash).withColumnRenamed("id", "node_id_"), F.col(id) == F.col("node_id_")).drop("node_id_")
+    taken, names = {c.lower() for c in (*nodes.columns, *ids.columns)}, []
+    own = {c.lower() for c in nodes.columns} - {"id"}
+    for c in ids.columns:
+        new = c
+        if c != id and c.lower() in own:
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+        names.append(new)
+    ids = ids.toDF(*names)
+    return ids.join(nodes.withColumnRenamed("id", "node_id_"), F.col(quoted(id)) == F.col("node_id_")).drop("node_id_")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.model import PropertyGraph
-from .expand import BOTH, IN, OUT, as_ids, existing, far_labels, few, step_arcs
+from .expand import BOTH, IN, OUT, as_ids, existing, far_labels, few, starting, step_arcs
 from .scan import Filter, hydrate, matching_ids
 
 NODES = "seed string, id string, hop int"
@@ -146,7 +146,9 @@ class Traversal:
 
     def _start(self, shown: bool = False) -> DataFrame:
         """The seeds that exist.  In a whole graph the others have no arcs, so only a result that shows seeds looks."""
-        return self.seeds if self.graph.whole and not shown else existing(self.graph, self.seeds, "seed")
+        if self.graph.whole and not shown:
+            return self.seeds
+        return existing(self.graph, self.seeds, "seed") if self.values is None else starting(self.graph, self.values)
 
     def _arcs(self, hop: int) -> DataFrame:
         step = self.steps[hop % len(self.steps)]

@@ -24,6 +24,7 @@ from ..sources.storage import load, save
 from .cypher import Result, run
 
 DIRECTIONS = {"in": IN, "out": OUT, "both": BOTH, None: BOTH}
+# Names of features that clients ask for.
 FEATURES = frozenset({"nodes", "relationships", "traversal", "batch", "indexes", "cypher", "cypher-bridge", "upsert", "graph-spaces", "transactions"})
 
 

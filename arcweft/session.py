@@ -25,10 +25,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where there is none, one of our own."""
+    """The folder that the cluster names for checkpoints.
+
+    Only where all runs on this machine and none is named, one of our own; a cluster without one is an
+    error, since its executors share no folder that could be made up here.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="arcweft-checkpoint-"))
     return named or context.getCheckpointDir()
 
@@ -37,3 +43,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there: an executor's loss costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)

@@ -256,3 +256,27 @@ def test_validation_and_constraints(spark):
 def test_hydrate_keeps_repeats(spark, crowd):
     ids = spark.createDataFrame([("bob", 1), ("bob", 2), ("none", 3)], "id string, k int")
     assert sorted((r.k, r.name) for r in hydrate(crowd, ids).collect()) == [(1, "Bob"), (2, "Bob")]
+
+
+def test_hydrate_keeps_properties_of_the_frames_names(spark):
+    g = build(spark, {"a": (["N"], {"hop": 7}), "b": (["N"], {"hop": 41, "seed": "own", "Hop_": 3}) }, [("a", "b", "R")])
+    row = traverse(g, "a").outgoing("R").nodes().first().asDict()
+    assert (row["hop"], row["seed"], row["Hop_"]) == (41, "own", 3)
+    assert (row["hop__"], row["seed_"]) == (1, "a")
+
+
+def test_upserting_many_keeps_what_an_item_does_not_name(spark):
+    g = build(spark, {"a": (["N"], {"k": 1, "v": 1, "w": 1}), "b": (["N"], {"k": 2, "v": 2, "w": 2})})
+    new, ids = m.upsert_nodes(g, "N", "k", [{"k": 1, "v": 10}, {"k": 2, "w": None}, {"k": 3, "v": 3.5}])
+    assert ids[:2] == ["a", "b"]
+    assert sorted((r.k, r.v, r.w) for r in find_nodes(new, "N").collect() if r.k < 3) == [(1, 10, 1), (2, 2, None)]
+    assert find_nodes(new, "N", {"k": 3}).first().v == 3.5
+
+
+def test_algorithms_by_name(spark):
+    g = letters(spark, "AB BC")
+    assert alg.run_algorithm(g, "connected_components").count() == 3
+    with pytest.raises(GraphError):
+        alg.run_algorithm(g, "none")
+    with pytest.raises(GraphError):
+        alg.register("page_rank", lambda graph: graph.vertices())
