@@ -87,11 +87,20 @@ def add_node_frame(graph: PropertyGraph, name: str, frame: DataFrame, labels: It
     return graph.with_nodes(name, frame, labels)
 
 
+def _free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until none of ``taken`` is it."""
+    seen = {t.lower() for t in taken}
+    while name.lower() in seen:
+        name += "_"
+    return name
+
+
 def _settable(frame: DataFrame, props: Props) -> tuple[DataFrame, dict[str, T.DataType]]:
     """The frame with a column for each property, of a type that can hold the value."""
-    one = rows_frame(frame.sparkSession, T.StructType([T.StructField("k", T.IntegerType())]), [(1,)], [props])
+    own = _free("row", props)
+    one = rows_frame(frame.sparkSession, T.StructType([T.StructField(own, T.IntegerType())]), [(1,)], [props])
     for name, kind in dict(one.dtypes).items():
-        if name == "k":
+        if name == own:
             continue
         have = dict(frame.dtypes).get(name)
         if have is None:
@@ -287,10 +296,12 @@ def _merge_items(graph: PropertyGraph, label: str, items: Mapping[str, Props]) -
     """Merge different properties into different nodes of a label, by id: one join a table."""
     if not items:
         return graph
-    fixed = T.StructType([T.StructField("hit_id", T.StringType()), T.StructField("named", T.ArrayType(T.StringType()))])
+    props = list(dict.fromkeys(c for p in items.values() for c in p))
+    taken = {*props, *(c for t in graph.nodes.values() for c in t.frame.columns)}
+    hit_id, named, values = (_free(c, taken) for c in ("hit_id", "named", "new_values"))
+    fixed = T.StructType([T.StructField(hit_id, T.StringType()), T.StructField(named, T.ArrayType(T.StringType()))])
     new = rows_frame(graph.spark, fixed, [(i, list(p)) for i, p in items.items()], list(items.values()))
-    props = [c for c in new.columns if c not in fixed.names]
-    new = new.select("hit_id", "named", F.struct(*map(quoted, props)).alias("new_values"))
+    new = new.select(hit_id, named, F.struct(*map(quoted, props)).alias(values))
     tables = dict(graph.nodes)
     for name, t in graph.nodes.items():
         if label not in t.fixed | t.maybe:
@@ -299,11 +310,11 @@ def _merge_items(graph: PropertyGraph, label: str, items: Mapping[str, Props]) -
         for p in items.values():
             frame, kinds = _settable(frame, p)
         kinds = {f.name: f.dataType for f in frame.schema}
-        rows = frame.join(new, F.col("id") == F.col("hit_id"), "left")
+        rows = frame.join(new, F.col("id") == F.col(hit_id), "left")
         for c in props:
-            hit = F.coalesce(F.array_contains("named", c), F.lit(False))
-            rows = rows.withColumn(c, F.when(hit, F.col(f"new_values.{quoted(c)}").cast(kinds[c])).otherwise(F.col(quoted(c))))
-        tables[name] = replace(t, frame=rows.drop("hit_id", "named", "new_values"))
+            hit = F.coalesce(F.array_contains(named, c), F.lit(False))
+            rows = rows.withColumn(c, F.when(hit, F.col(f"{values}.{quoted(c)}").cast(kinds[c])).otherwise(F.col(quoted(c))))
+        tables[name] = replace(t, frame=rows.drop(hit_id, named, values))
     return replace(graph, nodes=tables)
 
 
