@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import quoted
-from ..session import cut
+from ..session import cut, renew
 from ..sources.model import GraphError, PropertyGraph, union
 from .expand import BOTH, arcs, as_ids, existing, starting, step_arcs
 from .scan import Filter, matching_ids, matching_rels
@@ -33,7 +33,7 @@ def hop_distances(
     while max_depth is None or hop < max_depth:
         hop += 1
         found = level.join(steps, F.col("id") == F.col("here")).select("seed", F.col("there").alias("id")).distinct()
-        level = cut(found.join(seen, ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop)))
+        level = renew(cut(found.join(seen, ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop))))
         if level.isEmpty():
             break
         seen = seen.unionAll(level)
@@ -143,7 +143,7 @@ def cheapest_distances(
         best = F.min(F.struct((F.col("so_far") + F.col("cost")).alias("cost"), F.col("from_id").alias("via_node"), F.col("rel_id").alias("via_rel")))
         found = found.groupBy("seed", F.col("there").alias("id")).agg(best.alias("new")).select("seed", "id", "new")
         old = known.select("seed", "id", F.struct("cost", "via_node", "via_rel").alias("old"))
-        both = cut(old.join(found, ["seed", "id"], "full_outer"))
+        both = renew(cut(old.join(found, ["seed", "id"], "full_outer")))
         better = F.col("old").isNull() | (F.col("new.cost") < F.col("old.cost"))
         better = F.coalesce(better & F.col("new").isNotNull(), F.lit(False))
         known = both.select("seed", "id", F.when(better, F.col("new")).otherwise(F.col("old")).alias("now")).select("seed", "id", "now.*")
@@ -237,7 +237,7 @@ def connected_components(graph: PropertyGraph, types: Iterable[str] | None = Non
         # from one array: a union would carry what is known of each side's rows into the next round's plan
         both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = large.join(least, F.col("u") == F.col("k")).select(F.explode(both).alias("e")).select("e.u", "e.v")
-        edges = cut(small.where("u > v").distinct())
+        edges = renew(cut(small.where("u > v").distinct()))
     heads = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     nodes = graph.vertices().select("id").distinct()
     return nodes.join(heads, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -252,7 +252,7 @@ def page_rank(graph: PropertyGraph, rounds: int = 10, damping: float = 0.85, typ
     ranks = nodes.withColumn("rank", F.lit(1.0))
     for _ in range(rounds):
         sent = ranks.join(steps, F.col("id") == F.col("here")).groupBy(F.col("there").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        ranks = cut(nodes.join(sent, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got")))
+        ranks = renew(cut(nodes.join(sent, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got"))))
         lost = 1 - (ranks.agg(F.sum("got")).first()[0] or 0.0) / max(1, n)  # rank of nodes without a way out
         ranks = ranks.select("id", (F.lit(1 - damping) + F.lit(damping) * (F.col("got") + F.lit(lost))).alias("rank"))
     return ranks

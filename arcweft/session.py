@@ -45,6 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def renew(df: DataFrame) -> DataFrame:
+    """The same rows, without what Spark has concluded about them so far.
+
+    A checkpoint keeps its plan's estimate of size and its constraints.  Estimates of joins multiply, so
+    in a loop their digits double from round to round until planning takes longer than the work.
+    """
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, in whatever store it is."""
     old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
