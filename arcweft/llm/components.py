@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, renew
 
 
 def _parents(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,14 @@ def _large(edges: DataFrame) -> DataFrame:
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    """Tie a node and its lesser neighbours to the least of them."""
-    parents = _parents(edges)
-    tied = edges.join(parents, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.where("u > v").unionByName(parents.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct()
+    """Tie a node and its lesser neighbours to the least of them.
+
+    Both kinds of edges come from one array: a union would carry what is known of each side's rows
+    into the next round's plan, which then doubles from round to round.
+    """
+    tied = edges.join(_parents(edges), F.col("u") == F.col("of"))
+    both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return tied.select(F.explode(both).alias("e")).select("e.u", "e.v").where("u > v").distinct()
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,7 +41,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round; only their number and a checksum come to the driver, to see when they stay the same.
     """
     edges = pairs.where(F.col(a) != F.col(b))
-    edges = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges = renew(cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()))
     last = None
     while True:
         check = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
@@ -45,6 +49,6 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state["n"] == 0 or state == last:
             break
         last = state
-        edges = cut(_small(cut(_large(edges))))
+        edges = renew(cut(_small(cut(_large(edges)))))
     heads = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)

@@ -9,14 +9,27 @@ so in some chunk the two differ in one symbol at most; each chunk is indexed onc
 its symbols with that symbol left out, which enumerates the allowed error.  ``T`` is the least
 distance beyond which a pair at the similarity threshold falls with a chance under ``MISS``.
 
-Buckets are never expanded into all pairs.  Each bucket's smallest member is compared with the
-others, and what links is joined into components.  Only buckets that still hold several
-components need more.  For their members an exact prefix join follows: shingles are ordered by
-how many of these members have them, the rarest first, and two sets that are similar enough
-share one of the first few, at places that leave room for the overlap they need.  A bitmap of
-each set, in which every shingle flips one bit, bounds how much two sets differ from below and
-stops most pairs that differ too much.  So every pair that could still join two components is
-looked at, few others are, and none within a component.  A distance up to ``T`` or a shared prefix makes a pair a candidate; the full sets decide.
+Buckets are never expanded into all pairs.  Each bucket's smallest member, its hub, is compared
+with the others: those within the distance are checked on their full sets, and what links is
+joined into components.  A bucket whose other members are then in one component is finished.
+
+The members of the rest are gathered by hub.  For two sets to link, the shingles in which they
+differ must be few, and this symmetric difference stays the same when both are replaced by their
+differences from any third set.  So each member is reduced to its difference from the shingles
+that most members of its hub have, which is short for a near copy.  With ``weight`` w = |difference|
+* (q + p) - |set| * (q - p) at the threshold p / q, two members link if and only if their weights
+add up to at most 2 * (q + p) times what their differences have in common.  Then
+
+* all whose weight and the least weight of the hub's members add up to 0 at most link with that
+  member, the centre: one comparison of numbers each, and two others with a sum up to 0 are both
+  among them;
+* any other link needs one of the remaining members and a shared difference, as many of them as
+  the weights say.  Differences are ordered by how many members have them, the rarest first;
+  only those early enough to leave room for the rest are kept, and of these only those for which
+  the least weight among the others that have them leaves room, too, which is asked twice.
+
+What then still meets in a difference is checked on the full sets.  So every pair within the
+distance is decided, and of a group of copies with edits of their own few pairs are made.
 
 Cases: a null or empty text, or one of white space alone, has an empty set and links with
 nothing; with fewer than ``width`` words the whole sequence is one shingle; repeated rows get
@@ -28,17 +41,18 @@ empty table.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, fresh, map_texts
+from ._common import cut, fresh, map_texts, release
 from .components import components
 
 SYMBOLS = 36
@@ -53,9 +67,9 @@ SIGNED = T.StructType(
     [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
     + [T.StructField(c, T.LongType()) for c in _SIG]
 )
-PARITY_BITS = 1024
-_BITS = [f"b{i}" for i in range(PARITY_BITS // 64)]
-SET = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))] + [T.StructField(c, T.LongType()) for c in _BITS])
+SET = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))])
+#: Times that shared differences are filtered by the weights of those that have them.
+BOUNDS = 2
 
 _random = np.random.default_rng(20_240_601)
 _TIMES = _random.integers(0, 2**64, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -102,18 +116,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of longs per set, with a bit set where an odd number of shingles falls.
-
-    Two rows differ in at most as many bits as the sets differ in shingles.
-    """
-    out = np.zeros((len(sets), PARITY_BITS // 64), dtype=np.int64)
-    for row, s in zip(out, sets, strict=True):
-        odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS) & 1
-        row[:] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-    return out
-
-
 def radius(threshold: Fraction, miss: float = MISS) -> int:
     """The least T with P(more than T symbols differ) <= miss at the threshold."""
     differ = 1 - float(threshold)
@@ -177,10 +179,10 @@ def signed(docs: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
     return rows.select(F.col(f"`{id_col}`").alias("id"), f"{s}.*")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
-    """(node, hashes, bitmap) of the documents in ``ids``."""
+def sets_of(docs: DataFrame, ids: DataFrame, width: int, text: str, id_col: str, most: int) -> DataFrame:
+    """(node, which, hashes) of the documents in ``ids``; ``which`` tells rows that share an id apart."""
     ids = cut(ids)
-    small = ids.count() <= BROADCAST_IDS
+    small = ids.count() <= most
     picked = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text}`").alias("text"))
     picked = picked.join(F.broadcast(ids) if small else ids, "node", "left_semi")
 
@@ -191,13 +193,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, text: str, id_col: str)
             sets = [shingles(t, width, known) for t in texts]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            bits = parities(sets)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(b) for b in bits.T)]
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
 
         return work
 
     rows, s = map_texts(picked, "text", SET, make, keep=["node"])
-    return rows.select("node", f"{s}.*")
+    return cut(rows.select("node", F.monotonically_increasing_id().alias("which"), f"{s}.*").where(F.size("hashes") > 0))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -210,35 +211,112 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
     return both.where(close).select("a", "b").distinct()
 
 
-def prefix_pairs(sets: DataFrame, parts: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b): pairs of different components that may be similar enough.
+def weighed(stars: DataFrame, sets: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """The members of each hub with their differences from what most of them have.
 
-    ``sets`` are (node, hashes, bitmap) and ``parts`` (node, component).  Two sets of sizes p and q need
-    t / (1 + t) * (p + q) shingles in common.  In the order of all shingles by their number of
-    holders, the first one that both have must leave so many places after it in both.  Shingles
-    with one holder only take places.  Their bitmaps must not differ in more bits than the sets
-    may in shingles, (1 - t) / (1 + t) * (p + q).
+    ``stars`` are (hub, node, component).  Returns (hub, node, component, w, own, lacks): the weight, what
+    the member and few others have, and what it lacks of what most have; and by hub (hub, most, centre,
+    low, high): what most members have, the member of the least weight, the least and the greatest weight.
+    Shingles come with ``held``, the number of members whose differences have them; what a member has alone
+    only takes places.
+    """
+    up, down = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
+    members = stars.join(sets.select("node", "which"), "node")
+    sizes = cut(members.groupBy("hub").agg(F.count(F.lit(1)).alias("m")))
+    members = cut(members.join(sizes, "hub").withColumn("member", F.monotonically_increasing_id()))
+    every = members.join(sets, ["node", "which"])
+
+    often = every.select("hub", "m", F.explode("hashes").alias("shingle")).groupBy("hub", "shingle")
+    often = often.agg(F.count(F.lit(1)).alias("count"), F.max("m").alias("m")).where("count > 1")
+    often = often.withColumn("usual", F.col("count") * 2 > F.col("m"))
+    held = F.when(F.col("usual"), F.col("m") - F.col("count")).otherwise(F.col("count"))
+    often = cut(often.select("hub", "shingle", "usual", held.alias("held")))
+    # more than half of a hub's members have each of these, so they are no more than twice a mean set
+    usual = often.where("usual").groupBy("hub").agg(F.collect_list(F.struct("held", "shingle")).alias("most"))
+    usual = cut(usual)
+
+    most = F.coalesce(F.col("most.shingle"), F.array().cast("array<long>"))
+    differ = every.join(usual, "hub", "left").select(
+        "hub", "node", "component", "member", F.size("hashes").cast("long").alias("n"),
+        F.array_except("hashes", most).alias("extra"), F.array_except(most, F.col("hashes")).alias("lacks"),
+    )
+    differ = cut(differ.withColumn("w", (F.size("extra") + F.size("lacks")) * F.lit(up).cast("long") - F.col("n") * down).drop("n"))
+    few = often.where("NOT usual").select("hub", "shingle", "held")
+    own = differ.select("hub", "member", F.explode("extra").alias("shingle")).join(few, ["hub", "shingle"])
+    own = own.groupBy("member").agg(F.collect_list(F.struct("held", "shingle")).alias("own"))
+    rows = differ.drop("extra").join(own, "member", "left").drop("member")
+    centres = differ.groupBy("hub").agg(F.min(F.struct("w", "node")).alias("least"), F.max("w").alias("high"))
+    centres = centres.select("hub", F.col("least.node").alias("centre"), F.col("least.w").alias("low"), "high")
+    return cut(rows), cut(centres.join(usual, "hub", "left"))
+
+
+PLACE = T.StructType([T.StructField(c, T.LongType()) for c in ("hub", "node", "component", "w", "low", "shingle", "after")])
+
+
+def places(rows: DataFrame, centres: DataFrame, threshold: Fraction) -> DataFrame:
+    """Differences by which a member can find another, and how many of its own come from there on.
+
+    A member that isn't the centre's may meet all; the centre's may only meet the others.
     """
-    up, down = threshold.numerator, threshold.numerator + threshold.denominator
-    every = sets.select("node", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("shingle"))
-    holders = cut(every.groupBy("shingle").count().where(F.col("count") > 1).select("shingle", F.col("count").alias("held")))
-    own = Window.partitionBy("node")
-    shared = every.join(holders, "shingle").withColumn("nth", F.row_number().over(own.orderBy("held", "shingle")))
-    shared = shared.withColumn("after", F.count(F.lit(1)).over(own) - F.col("nth") + 1)  # places from this one on
-    first = shared.where(F.col("after") * threshold.denominator >= F.col("n") * threshold.numerator)
-    about = parts.join(sets.select("node", F.struct(*_BITS).alias("bits")), "node")
-    first = cut(first.join(about, "node").select("shingle", "node", "n", "after", "component", "bits"))
-    x, y = first.alias("x"), first.alias("y")
-    need = (F.col("x.n") + F.col("y.n")) * up
-    apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    room = (F.col("x.after") * down >= need) & (F.col("y.after") * down >= need)
-    differ = sum((F.bit_count(F.col(f"x.bits.{b}").bitwiseXOR(F.col(f"y.bits.{b}"))) for b in _BITS), F.lit(0))
-    near = differ * down <= (F.col("x.n") + F.col("y.n")) * (threshold.denominator - threshold.numerator)
-    return x.join(y, apart & room & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    twice = 2 * (threshold.denominator + threshold.numerator)
+    open_ = centres.where("high + low > 0")  # otherwise all link with the centre
+    both = rows.join(open_, "hub").select("hub", "node", "component", "own", "lacks", "most", "w", "low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fixed = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "node", "component", "w", "low")]
+            lists = {}
+            for c in ("own", "lacks", "most"):
+                column = batch.column(c)
+                ends = np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+                flat = column.flatten()  # nulls are left out
+                lists[c] = ends, [f.to_numpy(zero_copy_only=False) for f in (flat.flatten() if pa.types.is_struct(flat.type) else [flat])]
+            at, shingle, after = [], [], []
+            for i in range(batch.num_rows):
+                part = {c: [f[ends[i] : ends[i + 1]] for f in fields] for c, (ends, fields) in lists.items()}
+                lacks = np.isin(part["most"][1], part["lacks"][0]) & (part["most"][0] > 1)
+                held = np.concatenate([part["own"][0], part["most"][0][lacks]])
+                mine = np.concatenate([part["own"][1], part["most"][1][lacks]])
+                w, low = int(fixed[3][i]), int(fixed[4][i])
+                other = low if w > -low else 1 - low
+                need = max(1, -(-(w + other) // twice))
+                order = np.lexsort((mine, held))[: max(0, len(mine) - need + 1)]
+                at.append(np.full(len(order), i))
+                shingle.append(mine[order])
+                after.append(len(mine) - np.arange(len(order)))
+            if at:
+                at = np.concatenate(at).astype(np.int64)
+                columns = [f[at].astype(np.int64) for f in fixed] + [np.concatenate(x).astype(np.int64) for x in (shingle, after)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PLACE.names)
+
+    return cut(both.mapInArrow(run, PLACE))
+
+
+def difference_pairs(found: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): members of different components that share a difference early enough in both."""
+    twice = 2 * (threshold.denominator + threshold.numerator)
+    loose = F.col("w") + F.col("low") > 0
+    for _ in range(BOUNDS):
+        here = found.groupBy("hub", "shingle").agg(F.min("w").alias("any_w"), F.min(F.when(loose, F.col("w"))).alias("loose_w"), F.count(F.lit(1)).alias("k"))
+        here = cut(here.where("k > 1 AND loose_w IS NOT NULL").drop("k"))
+        room = F.col("after") * twice >= F.col("w") + F.when(loose, F.col("any_w")).otherwise(F.col("loose_w"))
+        found = cut(found.join(here, ["hub", "shingle"]).where(room).drop("any_w", "loose_w"))
+    found = found.withColumn("loose", loose)
+    x, y = found.where("loose").alias("x"), found.alias("y")
+    meet = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+    once = ~F.col("y.loose") | (F.col("x.node") < F.col("y.node"))
+    room = F.least("x.after", "y.after") * twice >= F.col("x.w") + F.col("y.w")
+    pairs = x.join(y, meet & once & room).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return pairs.distinct()
 
 
 def near_groups(
-    docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", id_col: str = "doc_id"
+    docs: DataFrame,
+    width: int = 5,
+    threshold: Fraction = Fraction(4, 5),
+    text: str = "text",
+    id_col: str = "doc_id",
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     t = radius(threshold)
@@ -253,24 +331,34 @@ def near_groups(
     members = cut(entries.join(shared, "key").where("node != hub").select("key", "hub", "node"))
 
     # every bucket's smallest member with the others
-    pairs = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = cut(members.select("hub", "node").distinct())
+    ids = stars.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
+    sets = sets_of(docs, ids, width, text, id_col, broadcast_ids)
+    pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("p")), "a")
     pairs = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("q")), "b")
-    pairs = cut(pairs.where(distance("p", "q") <= t).select("a", "b").distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = cut(confirmed(pairs, cut(sets_of(docs, ids, width, text, id_col)), threshold))
+    pairs = cut(pairs.where(distance("p", "q") <= t).select("a", "b"))
+    links = cut(confirmed(pairs, sets, threshold))
+    release(docs.sparkSession)
     comps = cut(components(links))
 
-    # buckets of several components
-    entries = members.select("key", "node").unionAll(members.select("key", F.col("hub").alias("node")).distinct())
-    placed = entries.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # buckets whose other members are in several components
+    placed = cut(members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = cut(mixed.where("low < high").select("key"))
-    parts = cut(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
-    if not parts.isEmpty():
-        sets = cut(sets_of(docs, parts.select("node"), width, text, id_col))
-        found = confirmed(cut(prefix_pairs(sets, parts, threshold)), sets, threshold)
-        comps = cut(components(links.unionByName(found)))
+    stars = cut(placed.join(mixed, "key", "left_semi").select("hub", "node", "component").distinct())
+    if not stars.isEmpty():
+        del members, placed, mixed, pairs, entries, shared
+        parts, centres = weighed(stars, sets, threshold)
+        release(docs.sparkSession)
+        near = parts.join(centres.select("hub", "centre", "low"), "hub").where("w + low <= 0 AND node != centre")
+        near = near.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        near = cut(near)
+        found = cut(difference_pairs(places(parts, centres, threshold), threshold))
+        del parts, centres, comps
+        release(docs.sparkSession)
+        comps = cut(components(links.unionByName(near).unionByName(confirmed(found, sets, threshold))))
+        release(docs.sparkSession)
 
     classes = nodes.select("digest", F.col("node").alias("least"))
     out = rows.select("id", "n", "digest").join(classes, "digest", "left")

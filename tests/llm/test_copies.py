@@ -129,15 +129,63 @@ def test_every_pair_within_the_radius_shares_a_key():
             assert any(len(wrong & set(c)) <= 1 for c in chunks)
 
 
-def test_bitmaps_bound_differences_from_below():
-    import numpy as np
-
-    rng = random.Random(7)
-    every = np.array([rng.getrandbits(64) for _ in range(3000)], dtype=np.uint64)
-    for _ in range(100):
-        a, b = (np.unique(rng.choices(every, k=rng.randint(0, 800))).astype(np.uint64) for _ in range(2))
-        x, y = near_dedup.parities([a, b]).view(np.uint64)
-        assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
+def test_near_with_a_large_group_whose_hubs_miss(spark):
+    """Copies of one base with many edits each, the worst first: hubs link few of them."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(max(1, 14 - k // 12)):
+            w[rng.randrange(150)] = f"e{rng.randrange(3000)}"
+        rows.append((k, " ".join(w)))
+    for k in range(160, 200):  # edits in common, too many for the base
+        w = list(base)
+        for j in range(0, 150, 12):
+            w[j] = f"v{k % 3}"
+        w[rng.randrange(150)] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(7, "another text of the same id altogether"), (7, rows[7][1]), (300, "another text of the same id, altogether")]
+    for width, threshold in ((3, Fraction(85, 100)), (5, Fraction(4, 5))):
+        sets = {}
+        for i, t in rows:
+            sets.setdefault(i, []).append(shingled(t, width))
+        part = {i: i for i in sets}
+
+        def find(x, part=part):
+            while part[x] != x:
+                x = part[x]
+            return x
+
+        for i, j in combinations(sorted(sets), 2):
+            if any(len(a & b) >= threshold * len(a | b) for a in sets[i] for b in sets[j]):
+                x, y = find(i), find(j)
+                part[max(x, y)] = min(x, y)
+        found = near_dedup.report(docs(spark, rows), width, threshold).collect()
+        assert {(r.doc_id, r.component_id) for r in found} == {(i, find(i)) for i in sets}
+        assert 5 < len({find(i) for i in sets}) < 150
+
+
+def test_near_shuffles_ids_beyond_the_limit_of_a_broadcast(spark):
+    rows = near_rows(4)[:60]
+    few, none = (sorted(near_dedup.near_groups(docs(spark, rows), broadcast_ids=k).collect(), key=str) for k in (10**6, 0))
+    assert few == none
+
+
+def test_pairs_meet_in_few_differences(spark):
+    """A group of copies with edits of their own makes less than one in a hundred of its pairs."""
+    rng = random.Random(3)
+    rows, size = [], 400
+    for k in range(size):
+        w = [f"b{j}" for j in range(200)]
+        for _ in range(rng.randint(2, 24)):
+            w[rng.randrange(200)] = f"e{k}-{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = near_dedup.sets_of(docs(spark, rows), spark.range(size).withColumnRenamed("id", "node"), 5, "text", "doc_id", 10**6)
+    stars = spark.createDataFrame([(0, k, k) for k in range(1, size)], "hub long, node long, component long")
+    parts, centres = near_dedup.weighed(stars, sets, Fraction(4, 5))
+    pairs = near_dedup.difference_pairs(near_dedup.places(parts, centres, Fraction(4, 5)), Fraction(4, 5))
+    assert pairs.count() < size * (size - 1) // 2 // 100
 
 
 def test_components(spark):
