@@ -6,7 +6,8 @@ neighbouring blocks, and blocks of one parent, are tied by smoothness edges that
 their distance in the tree.  The maximum flow's cut is the cheapest labelling.
 
 The classifier is fixed: there are no labelled pages.  Its weights concern the elements and
-class names around a block, links, length and punctuation.
+class names around a block, links, length and punctuation.  A block whose own signs mislead, as a
+paragraph that is one link, goes with its neighbours where these are sure.
 
 Cases: a null or empty page, and one without content, give an empty text; unclosed and
 misplaced tags are read as browsers do in the common cases; scripts, styles and comments never
@@ -36,11 +37,13 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 # Element names.
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas xmp noembed noframes".split())
+RAW = frozenset("script style textarea title template iframe xmp noembed noframes".split())
+#: Of these the rest of a page belongs to one that isn't closed; the others are then read as markup.
+ENDLESS = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr canvas object svg math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot".split()
 )
 #: Elements that end an open paragraph are all that aren't inline; these end one of their own kind.
 OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -60,12 +63,17 @@ NAMES = (
     (-7.0, "header share sharing social related recommended recommendations widget teaser teasers tags tagcloud copyright legal disclaimer hidden aside side rail"),
     (1.5, "article content entry post story main body text maintext articlebody"),
 )
+#: Words of layout: behind a name above they change nothing (ad-slot); any other word does (share-price).
+LAYOUT = frozenset(
+    "area bar block bottom box col column container content first fixed form foot group head heading holder inner item items last left link links "
+    "list main outer page panel right row section site slot small sticky text title top unit wrap wrapper zone".split()
+)
 WEIGHT_OF = {name: w for w, names in NAMES for name in names.split()}
 WORDS_OF = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPLIT = re.compile(r"[^A-Za-z]+")
 ROLES = {"navigation": -9.0, "banner": -8.0, "contentinfo": -9.0, "complementary": -8.0, "search": -8.0, "dialog": -8.0, "main": 2.5, "article": 4.0}
 
-NEXT_TO, SIBLINGS = 0.9, 0.6
+NEXT_TO, SIBLINGS = 2.0, 1.5
 
 
 @dataclass(slots=True)
@@ -77,6 +85,7 @@ class Element:
     named: float  # least weight by its names; void if it holds the article
     best: float  # greatest weight on the way up
     linked: bool
+    inside: bool = False  # an article
     holds: bool = False
     worst: float | None = None
 
@@ -116,10 +125,13 @@ def _weights(tag: str, attributes: str) -> tuple[float, float, float]:
                 w = ROLES.get(value.lower(), 0.0)
                 low, high = min(low, w), max(high, w)
             elif name in ("class", "id"):
-                for token in SPLIT.split(value):
-                    for part in {token.lower(), *(x.lower() for x in WORDS_OF.findall(token))}:
-                        w = WEIGHT_OF.get(part, 0.0)
-                        named, high = min(named, w), max(high, w)
+                for token in value.split():
+                    parts = [x.lower() for part in SPLIT.split(token) for x in (part, *WORDS_OF.findall(part))]
+                    weights = [WEIGHT_OF.get(x, 0.0) for x in parts]
+                    # in a compound the last word says what it is
+                    strange = len(parts) > 1 and parts[-1] not in WEIGHT_OF and parts[-1] not in LAYOUT
+                    named = min(named, *weights, 0.0) if not strange else min(named, 0.4 * min(weights))
+                    high = max(high, *weights)
     return (0.0, 0.0, 0.0) if tag in ("body", "html") else (low, named, high)  # a page's own names say little
 
 
@@ -180,10 +192,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
+            if close or tag in ENDLESS:
+                at = close.end() if close else end
+                continue
         low, named, high = _weights(tag, m[3])
-        here = Element(tag, here, here.depth + 1, low, named, max(here.best, high), here.linked or tag == "a")
+        if tag == "header" and here.inside:  # an article's own header has its headline
+            low = max(low, 0.0)
+        inside = here.inside or tag in ("article", "main")
+        here = Element(tag, here, here.depth + 1, low, named, max(here.best, high), here.linked or tag == "a", inside)
         if tag in ("article", "main"):
             up = here.parent
             while up is not None and not up.holds:
@@ -216,7 +232,7 @@ def odds(block: Block) -> float:
     n = len(block.text)
     x = -0.6 + block.at.least() + block.at.best
     x += min(2.0, n / 80) - 4.0 * block.linked / max(1, n)
-    x += min(1.5, 0.5 * len(SENTENCE.findall(block.text[-400:])))
+    x += min(1.5, 0.5 * len(SENTENCE.findall(block.text)))
     if n < 200 and RIGHTS.search(block.text):
         x -= 2.0
     return x
@@ -238,7 +254,7 @@ def minimum_cut(content: list[float], other: list[float], edges: list[tuple[int,
     """Which nodes stay with the source in a minimum cut.
 
     ``content`` are capacities from the source, ``other`` to the sink, edges go both ways.  Flow
-    straight through a node comes first; the rest is sent along shortest augmenting paths.
+    straight through a node comes first; the rest is sent level by level.
     """
     n = len(content)
     rest = [c - o for c, o in zip(content, other, strict=True)]  # above 0 what the source can still send
@@ -252,38 +268,51 @@ def minimum_cut(content: list[float], other: list[float], edges: list[tuple[int,
         to.append(a)
         room.append(c)
     tiny = 1e-9
-
-    def reach() -> tuple[list[int], int]:
-        """A breadth-first search from all nodes with supply; the edge to each node, and a node with demand."""
-        via = [-2] * n
-        queue = deque(i for i in range(n) if rest[i] > tiny)
-        for i in queue:
-            via[i] = -1
+    while True:
+        # levels: how far each node is from those that can still send
+        level = [0 if r > tiny else -1 for r in rest]
+        queue = deque(i for i in range(n) if not level[i])
+        met = False
         while queue:
             i = queue.popleft()
+            met = met or rest[i] < -tiny
             for e in out[i]:
-                j = to[e]
-                if via[j] == -2 and room[e] > tiny:
-                    via[j] = e
-                    if rest[j] < -tiny:
-                        return via, j
-                    queue.append(j)
-        return via, -1
-
-    while True:
-        via, sink = reach()
-        if sink < 0:
-            return [v != -2 for v in via]
-        path, i = [], sink
-        while via[i] >= 0:
-            path.append(via[i])
-            i = to[via[i] ^ 1]
-        flow = min(rest[i], -rest[sink], *(room[e] for e in path))
-        rest[i] -= flow
-        rest[sink] += flow
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+                if room[e] > tiny and level[to[e]] < 0:
+                    level[to[e]] = level[i] + 1
+                    queue.append(to[e])
+        if not met:
+            return [x >= 0 for x in level]
+        # flow along edges that go up one level, each edge left behind once it leads nowhere
+        tried = [0] * n
+        for start in range(n):
+            path: list[int] = []
+            i = start
+            while rest[start] > tiny:
+                if rest[i] < -tiny:
+                    flow = min(rest[start], -rest[i], *(room[e] for e in path)) if path else 0.0
+                    rest[start] -= flow
+                    rest[i] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    k = next((k for k, e in enumerate(path) if room[e] <= tiny), len(path))
+                    if rest[start] > tiny:
+                        i = to[path[k] ^ 1] if k < len(path) else i
+                        del path[k:]
+                    continue
+                while tried[i] < len(out[i]):
+                    e = out[i][tried[i]]
+                    if room[e] > tiny and level[to[e]] == level[i] + 1:
+                        break
+                    tried[i] += 1
+                if tried[i] < len(out[i]):
+                    path.append(out[i][tried[i]])
+                    i = to[path[-1]]
+                elif path:
+                    i = to[path.pop() ^ 1]
+                    tried[i] += 1
+                else:
+                    break
 
 
 def main_text(page: str) -> str:

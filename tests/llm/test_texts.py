@@ -99,6 +99,43 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><header><h1>Big headline</h1></header><p>Text of it, long enough to read. And more.</p></article>", "Big headline\nText of it, long enough to read. And more."),
+        ("<article><p>It is here now.</p><div class='share-price'><p>The price rose on Monday, traders said.</p></div><p>More followed.</p></article>", "It is here now.\nThe price rose on Monday, traders said.\nMore followed."),
+        ("<article><p>All of it.</p><div class='ad-slot'>Buy now</div><div class='share-links'><a href=x>Send</a></div></article>", "All of it."),
+        ("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> in short.</p><noscript><p>Without scripts, this too.</p></noscript></article>", "Energy is E=mc in short.\nWithout scripts, this too."),
+        ("<article><p>Before.</p><iframe src=x><p>After an open frame, the text goes on.</p></article>", "Before.\nAfter an open frame, the text goes on."),
+    ],
+)
+def test_pages_with_misleading_names(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_the_cut_overrules_single_blocks():
+    """A paragraph that is one link, between sure ones, and a sentence between links."""
+    page = "<div><p>A long first paragraph that says what is going on here. It has two sentences.</p><p>See <a href=x>the earlier report</a></p><p>And a third paragraph follows, with some more. It ends.</p></div>"
+    assert [html_text.odds(b) > 0 for b in html_text.blocks_of(page)] == [True, False, True]
+    assert html_text.main_text(page).count("\n") == 2
+    menu = "<div>" + "<p><a href=x>Another page</a></p>" * 3 + "<p>Pages.</p>" + "<p><a href=x>Another page</a></p>" * 3 + "</div>"
+    assert any(html_text.odds(b) > 0 for b in html_text.blocks_of(menu)) and html_text.main_text(menu) == ""
+
+
+def test_minimum_cut_of_many_blocks():
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        rng = random.Random(n)
+        content, other = ([rng.random() * 3 for _ in range(n)] for _ in range(2))
+        edges = [(i - 1, i, 2.0) for i in range(1, n)] + [(i - 5, i, 1.5) for i in range(5, n)]
+        began = time.perf_counter()
+        html_text.minimum_cut(content, other, edges)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 1  # eight times the blocks
+
+
 def test_broken_pages_end():
     for page in ("<", "<p", "<p>a<", "<!--", "<script>x", "</p></p></div>", "<a <b <c", "<p title=\"x>y", "&#0; &#x110000; &bogus;", "<b>" * 3000 + "x", "<p>" * 5000):
         assert isinstance(html_text.main_text(page), str)
@@ -226,6 +263,52 @@ def test_without_labels(spark):
         assert empty.isEmpty()
 
 
+def brute_word_scores(ordinary, toxic, words):
+    """Kneser-Ney by dictionaries: counts of n-grams for the two classes, continuations below."""
+    order = toxicity.ORDER
+    padded = lambda w: toxicity.PAD + w + toxicity.END
+    grams = lambda w: [padded(w)[i : i + order] for i in range(len(w) + 1)]
+    top = [{}, {}]
+    for c, bag in zip(top, (toxic, ordinary), strict=True):
+        for w, n in bag.items():
+            for g in grams(w):
+                c[g] = c.get(g, 0) + n
+    kinds = {order: set(top[0]) | set(top[1])}
+    more = {}
+    for k in range(order - 1, 0, -1):
+        kinds[k] = {g[1:] for g in kinds[k + 1]}
+        more[k] = {g: sum(x[1:] == g for x in kinds[k + 1]) for g in kinds[k]}
+
+    def shared(g):
+        if len(g) == 1:
+            return (more[1].get(g, 0) + 0.5) / (sum(more[1].values()) + 0.5 * toxicity.CHARS)
+        return discounted(g, more[len(g)])
+
+    def discounted(g, counts):
+        of = {x: n for x, n in counts.items() if x[:-1] == g[:-1]}
+        if not of:
+            return shared(g[1:])
+        d = toxicity.DISCOUNT
+        return (max(counts.get(g, 0) - d, 0) + d * len(of) * shared(g[1:])) / sum(of.values())
+
+    out = []
+    for w in words:
+        ratio = sum(np.log(discounted(g, top[0])) - np.log(discounted(g, top[1])) for g in grams(w))
+        out.append(np.logaddexp(np.log(1 - toxicity.SHARE), np.log(toxicity.SHARE) + ratio))
+    return out
+
+
+def test_scores_match_a_brute_force_model():
+    from collections import Counter
+
+    ordinary, toxic = Counter({b"the": 5, b"then": 2, b"cat": 1, b"cats": 1}), Counter({b"rat": 3, b"the": 1, b"bat": 1})
+    found = [b.to_pydict() for b in toxicity._grams(ordinary, toxic)]
+    model = toxicity.build(*[np.array([v for f in found for v in f[c]]) if c != "gram" else [v for f in found for v in f[c]] for c in ("gram", "toxic", "ordinary")])
+    words = ["the", "rat", "rats", "cat", "zebra", "bathe", "t"]
+    want = brute_word_scores({k.decode(): v for k, v in ordinary.items()}, {k.decode(): v for k, v in toxic.items()}, words)
+    assert np.allclose(model.word_scores([w.encode() for w in words]), want, rtol=0, atol=1e-9)
+
+
 # -- classifiers ----------------------------------------------------------------------------
 
 
