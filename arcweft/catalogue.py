@@ -340,16 +340,6 @@ def traverse_step_filter(g):
 _NEXT = "n AS (SELECT 'event:' || event_id AS f, 'event:' || lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, user_id FROM events)"
 
 
-@query(
-    f"WITH RECURSIVE {_NEXT}, r(id, path, len) AS (SELECT f, f, 0 FROM n WHERE user_id < 5 UNION ALL SELECT n.t, r.path || '>' || n.t, r.len + 1"
-    " FROM r JOIN n ON n.f = r.id WHERE n.t IS NOT NULL AND r.len < 4) SELECT path, len::INT AS length FROM r WHERE len > 0"
-)
-def traverse_paths(g):
-    users = neighbors(g, [f"customer:{k}" for k in range(5)], ["DID"], "outgoing").select("id")
-    found = traverse(g, users).outgoing("NEXT").depth(4).paths()
-    return found.select(F.concat_ws(">", "nodes").alias("path"), "length")
-
-
 @query(
     f"WITH RECURSIVE {_NEXT}, r(id, path, len) AS (SELECT f, f, 0 FROM n UNION ALL SELECT n.t, r.path || '>' || n.t, r.len + 1"
     " FROM r JOIN n ON n.f = r.id WHERE n.t IS NOT NULL AND r.len < 4) SELECT path, len::INT AS length FROM r WHERE len > 0"
@@ -423,15 +413,6 @@ def neighborhood_filtered_rels(g):
     return rels.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "SELECT DISTINCT 'customer:' || o_custkey AS seed, 'supplier:' || b.l_suppkey AS id, 3 AS hops FROM orders JOIN lineitem a ON a.l_orderkey = o_orderkey"
-    " JOIN lineitem b ON b.l_partkey = a.l_partkey WHERE o_custkey < 20"
-)
-def bfs_path_length(g):
-    found = alg.hop_distances(g, [f"customer:{k}" for k in range(20)], ["PLACED", "CONTAINS", "SUPPLIED_BY"], "outgoing", 4)
-    return found.where(F.startswith("id", F.lit("supplier:")))
-
-
 @query(
     "SELECT DISTINCT 'customer:' || o_custkey AS seed, 'supplier:' || b.l_suppkey AS id, 3 AS hops FROM orders JOIN lineitem a ON a.l_orderkey = o_orderkey"
     " JOIN lineitem b ON b.l_partkey = a.l_partkey"
@@ -448,16 +429,6 @@ _COST = (
 )
 
 
-@query(
-    f"WITH RECURSIVE {_COST}, s AS (SELECT 'event:' || min_by(event_id, ts) AS id FROM events WHERE user_id = 8),"
-    " r(id, cost, hop) AS (SELECT id, 0::BIGINT, 0 FROM s UNION SELECT e.t, r.cost + e.c, r.hop + 1 FROM r JOIN e ON e.f = r.id WHERE e.t IS NOT NULL AND r.hop < 8)"
-    " SELECT id, min(cost)::DOUBLE AS cost FROM r GROUP BY id"
-)
-def weighted_path_cost(g):
-    first = neighbors(g, "customer:8", ["DID"], "outgoing").select("id").join(find_nodes(g, "Event").select("id", "ts"), "id").orderBy("ts", "id").limit(1)
-    return alg.cheapest_distances(g, first.select("id"), "gap", ["NEXT", "SKIP"], "outgoing", max_hops=8).select("id", "cost")
-
-
 @query(
     f"WITH RECURSIVE {_COST}, s AS (SELECT 'event:' || event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, 'event:' || event_id) = 1),"
     " r(seed, id, cost, hop) AS (SELECT id, id, 0::BIGINT, 0 FROM s UNION SELECT r.seed, e.t, r.cost + e.c, r.hop + 1 FROM r JOIN e ON e.f = r.id WHERE e.t IS NOT NULL AND r.hop < 8)"
@@ -522,18 +493,6 @@ def _orders_of(graph: PropertyGraph, direction: str) -> DataFrame:
     return degrees(graph, ["PLACED"], direction)
 
 
-@query(
-    "SELECT 'customer:' || o_custkey || '>order:' || o_orderkey || '>part:' || l_partkey AS path, 2 AS length FROM"
-    " (SELECT o_custkey, o_orderkey, l_partkey, row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY 'order:' || o_orderkey) AS k"
-    " FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 3) WHERE k = 1"
-)
-def bfs_paths(g):
-    seeds = [f"customer:{k}" for k in range(3)]
-    targets = traverse(g, seeds).outgoing("PLACED").outgoing("CONTAINS").collect().where("hop = 2").select("id")
-    found = alg.shortest_paths(g, seeds, targets, ["PLACED", "CONTAINS"], "outgoing", 2)
-    return found.select(F.concat_ws(">", "nodes").alias("path"), "length")
-
-
 @query(
     "SELECT 'customer:' || o_custkey || '>order:' || o_orderkey || '>part:' || l_partkey AS path, 2 AS length FROM"
     " (SELECT o_custkey, o_orderkey, l_partkey, row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY 'order:' || o_orderkey) AS k"
@@ -544,12 +503,6 @@ def bfs_paths_all(g):
     return found.select(F.concat_ws(">", "nodes").alias("path"), "length")
 
 
-@query("SELECT 'nation:' || n_nationkey AS id, 'nation:' || min(n_nationkey::VARCHAR) OVER (PARTITION BY n_regionkey) AS component FROM nation UNION ALL SELECT 'region:' || r_regionkey, (SELECT 'nation:' || min(n_nationkey::VARCHAR) FROM nation WHERE n_regionkey = r_regionkey) FROM region")
-def ext_connected_components(g):
-    small = PropertyGraph(g.spark, {k: g.nodes[k] for k in ("region", "nation")}, {"IN_REGION": g.rels["IN_REGION"]})
-    return alg.connected_components(small)
-
-
 _TIES = (
     "e AS (SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer"
     " UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders"
@@ -939,12 +892,6 @@ def cypher_create(g):
     return found.select("a", F.lit("PLANET_OF").alias("t"), "b", F.col("place").cast("int").alias("place"))
 
 
-@query("SELECT 'customer:' || c_custkey AS id, 'Customer' AS label, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS mktsegment FROM customer WHERE c_custkey < 10")
-def hydrate_ids(g):
-    ids = g.spark.range(10).select(F.concat(F.lit("customer:"), F.col("id").cast("string")).alias("id"))
-    return plain(hydrate(PropertyGraph(g.spark, {"customer": g.nodes["customer"]}), ids))
-
-
 @query(
     "SELECT 'region:' || r_regionkey AS id, 'Region' AS label, r_name AS name, NULL::DOUBLE AS acctbal FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'Nation', n_name, NULL FROM nation"
     " UNION ALL SELECT 'customer:' || c_custkey, 'Customer', c_name, c_acctbal FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'Supplier', s_name, s_acctbal FROM supplier"
