@@ -13,7 +13,7 @@ def con():
     return connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, con, name):
     got, want = both(con, catalogue.queries()[name](spark, SF), catalogue.oracle_sql()[name])
     assert got[0] == want[0]
