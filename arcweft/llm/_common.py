@@ -6,6 +6,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,7 @@ def release(spark: SparkSession) -> None:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the bytes of ``column`` would exceed ``limit``; no row is left out."""
-    sizes = [len(v) if v is not None else 0 for v in batch.column(column).cast(pa.large_binary()).to_pylist()]
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
@@ -106,7 +107,7 @@ def labelled_sample(
     """At most ``limit`` labelled documents (doc_id, text, y), the first by a hash of their id.
 
     ``part`` restricts the rows that may be learnt from.  Rows with a null label or id are left
-    out; of several labels of an id the largest counts; of several texts of an id one.
+    out; of several labels of an id the largest counts, of several texts of an id the least.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if part is not None:
@@ -114,9 +115,10 @@ def labelled_sample(
     ids = (
         rows.groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("y"))
-        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
     ids = cut(ids)  # bounded by limit, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return rows.select("doc_id", "text", "y")
