@@ -2,15 +2,18 @@
 
 Fixed base rules come first.  The rest is learned by sequential covering: rules that reject are
 grown as conjunctions of thresholds on two thirds of the labelled rows, pruned on the other
-third, and kept if they are precise; what a rule covers is set aside before the next one.  The
-list becomes one ordered Spark conditional expression over the statistics.
+third, and kept if they are precise; what a rule covers is set aside before the next one.  Every
+middle between two neighbouring values is tried as a threshold.  The list becomes one ordered
+Spark conditional expression over the statistics.
 
 It is fitted on at most ``SAMPLE`` labelled documents, the first by a hash of their id; all
 documents are judged, over their whole texts.
 
 Cases: a null or empty text has no words, so the base rules reject it; without usable labels
-the list is empty and only the base rules reject; repeated rows are judged each; extra columns
-pass through ``keep_good``; an empty table gives an empty table.
+the list is empty and only the base rules reject; repeated rows are judged each, and of the
+texts of one labelled id the least is learned from; ties between rules go to the first
+statistic and the least threshold; a very long text is judged whole; extra columns, whatever
+their names, pass through ``keep_good``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -89,10 +92,21 @@ def covers(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bounds(values: np.ndarray) -> np.ndarray:
-    """Middles between neighbouring quantiles, as thresholds to try."""
-    at = np.unique(np.quantile(values, np.linspace(0, 1, 65)))
-    return (at[1:] + at[:-1]) / 2
+def _best(values: np.ndarray, bad: np.ndarray, old: float) -> tuple[float, float, bool]:
+    """Gain, threshold and side of the best cut between neighbouring values; all of them are tried."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    ends = np.flatnonzero(values[1:] > values[:-1])
+    if not len(ends):
+        return 0.0, 0.0, True
+    below = np.cumsum(bad[order])[ends]
+    best = (0.0, 0.0, True)
+    for above, q, n in ((True, bad.sum() - below, len(values) - 1 - ends), (False, below, ends + 1)):
+        gain = np.where(q > 0, q * (np.log2(np.maximum(q, 1) / n) - old), 0.0)
+        k = int(gain.argmax())
+        if gain[k] > best[0]:
+            best = (float(gain[k]), float((values[ends[k]] + values[ends[k] + 1]) / 2), above)
+    return best
 
 
 def grow(x: np.ndarray, bad: np.ndarray, longest: int) -> Rule:
@@ -101,21 +115,13 @@ def grow(x: np.ndarray, bad: np.ndarray, longest: int) -> Rule:
     inside = np.ones(len(x), dtype=bool)
     while len(rule) < longest and (p := int((inside & bad).sum())) and (inside & ~bad).any():
         old = np.log2(p / inside.sum())
-        best: tuple[float, Condition | None] = (1e-9, None)
-        for k in range(x.shape[1]):
-            column = x[inside, k]
-            wrong = bad[inside]
-            for bound in _bounds(column):
-                for above in (True, False):
-                    hit = column >= bound if above else column <= bound
-                    q = int((hit & wrong).sum())
-                    gain = q * (np.log2(q / hit.sum()) - old) if q else 0.0
-                    if gain > best[0]:
-                        best = (gain, Condition(k, above, float(bound)))
-        if best[1] is None:
+        tries = [_best(x[inside, k], bad[inside], old) for k in range(x.shape[1])]
+        k = max(range(len(tries)), key=lambda k: tries[k][0])  # of equal gains the first statistic's
+        gain, bound, above = tries[k]
+        if gain <= 1e-9:
             break
-        rule += (best[1],)
-        inside &= best[1].holds(x)
+        rule += (Condition(k, above, bound),)
+        inside &= rule[-1].holds(x)
     return rule
 
 
@@ -131,21 +137,32 @@ def prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.95, least: int = 3, longest: int = 3, most: int = 12) -> list[Rule]:
-    """Rules that reject, in order.  ``bad`` marks the rows to cover."""
+def learn(
+    x: np.ndarray, bad: np.ndarray, precision: float = 0.95, least: int = 3, longest: int = 3, most: int = 12, tries: int = 48
+) -> list[Rule]:
+    """Rules that reject, in order.  ``bad`` marks the rows to cover.
+
+    A rule must be precise on all rows that are left and on the third that it wasn't grown on.  The bad rows
+    that a refused one covers seed no further rule; other rules may still cover them.
+    """
     third = np.arange(len(x)) % 3 == 2
     left = np.ones(len(x), dtype=bool)
+    seeds = left.copy()
     rules: list[Rule] = []
-    while len(rules) < most and (left & bad).sum() >= least:
-        fit, test = left & ~third, left & third
-        if not (fit & bad).any():
-            break
+    while len(rules) < most and tries and (seeds & bad).sum() >= least:
+        tries -= 1
+        fit, test = seeds & ~third, seeds & third
         rule = prune(grow(x[fit], bad[fit], longest), x[test], bad[test])
-        hit = covers(rule, x) & left
-        if not rule or (hit & bad).sum() < least or (hit & bad).sum() < precision * hit.sum():
+        if not rule:
             break
-        rules.append(rule)
-        left &= ~hit
+        hit = covers(rule, x) & left
+        good = [(hit & part & ~bad).sum() <= (1 - precision) * (hit & part).sum() for part in (left, third)]
+        if all(good) and (hit & bad).sum() >= least and (hit & bad & third).any():
+            rules.append(rule)
+            left &= ~hit
+            seeds &= ~hit
+        else:
+            seeds &= ~(hit & bad)
     return rules
 
 
