@@ -17,7 +17,8 @@ Words are runs of ASCII digits and letters and of characters beyond ASCII, lower
 
 Cases: a text without words (null, empty, white space) gets the share of toxic labels; without
 labels of both kinds every score is that share, or 0 without any; repeated rows are scored
-each; an empty table gives an empty table.
+each and alike, and all rows of a labelled id are counted; a very long text is scored whole;
+other columns are not read, so their names can't clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -196,8 +197,9 @@ class Scorer:
         if len(index) > known:
             self.score = np.concatenate([self.score, self.model.word_scores(list(index)[known:])])
         at, n = np.array(found, dtype=np.int64), np.array(counts, dtype=np.int64)
-        score, ends = np.r_[0, np.cumsum(self.score[at])], np.cumsum(n)
-        return np.where(n > 0, (score[ends] - score[ends - n]) / (n + PRIOR_WORDS), np.nan)
+        # each text is summed by itself, so a score doesn't depend on what else is in the batch
+        score = np.bincount(np.repeat(np.arange(len(n)), n), weights=self.score[at], minlength=len(n))
+        return np.where(n > 0, score / (n + PRIOR_WORDS), np.nan)
 
 
 def build(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
