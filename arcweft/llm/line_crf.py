@@ -37,6 +37,8 @@ LINES = 400_000
 ROUNDS = 120
 OWN = 9  # features of a line by itself
 FEATURES = 1 + OWN + 2 * 3  # a constant, its own, and three of each neighbour
+#: A chain is cut after so many lines for training, whose recursions take a step a line; scores come from whole chains.
+STRETCH = 256
 #: Documents whose lines are held at once.
 SIDE_BY_SIDE = 512
 
@@ -171,16 +173,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds:
     if not rows or len(set(y.tolist())) < 2:
         return Field(weights, step, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))), share)
     counts = np.array([len(x) for x, _ in rows])
-    starts = np.r_[0, np.cumsum(counts)[:-1]]
     x = np.concatenate([r[0] for r in rows])
     label = np.repeat(y, counts)
+    starts = np.concatenate([np.arange(end - n, end, STRETCH) for n, end in zip(counts, np.cumsum(counts), strict=True)])
+    counts = np.diff(np.r_[starts, len(x)])
     seen = np.zeros((len(x), 2))
     seen[np.arange(len(x)), label] = 1
     inner = np.ones(len(x), dtype=bool)
     inner[starts] = False
     steps = np.zeros((2, 2))
     for k in (0, 1):
-        steps[k, k] = (inner & (label == k)).sum()
+        steps[k, k] = (inner & (label == k)).sum()  # within a stretch all lines have one label
     grads = [np.zeros_like(weights), np.zeros_like(step)]
     moments = [np.zeros_like(weights), np.zeros_like(step)]
     for r in range(1, rounds + 1):
