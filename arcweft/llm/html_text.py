@@ -11,7 +11,9 @@ paragraph that is one link, goes with its neighbours where these are sure.
 
 Cases: a null or empty page, and one without content, give an empty text; unclosed and
 misplaced tags are read as browsers do in the common cases; scripts, styles and comments never
-become blocks; repeated rows are read each; an empty table gives an empty table.
+become blocks; repeated rows are read each; blocks whose costs are even count as boilerplate; a
+very long page is read whole; extra columns pass through ``extract``, where outputs replace input
+columns of their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ Texts are searched as their words, joined by single spaces: A-Z are lower-cased,
 a run of digits, letters a-z and characters beyond ASCII.  Edits are counted in UTF-8 bytes.
 
 Cases: a null or empty text has no words, no labels, null places and score 0; overlapping and
-repeated places count each; repeated rows are scanned each; an empty table gives an empty
-table.
+repeated places count each; repeated rows are scanned each; labels found at one place all
+count; a very long text is scanned whole; other columns are not read, so their names can't
+clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ cell are numbered together.  A source has at most a few hundred steps times 256
 
 Cases: a null text or one of white space alone has size 0 and belongs to the mix without words;
 a null source is a source of its own, last in order; null ids sort last in their cell; repeated
-rows are counted each; if all sizes are 0, all targets are 0; an empty table gives an empty
-table.
+rows are counted each, and which of two equal rows is taken more often is open; if all sizes are
+0, all targets are 0; a very long text is one document, which is taken whole or not; extra columns
+pass through ``mixture``, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by vectorised merge rounds.
 
 Cases: a null or empty text has no ids and decodes to an empty text; a character without a
-piece becomes its UTF-8 bytes' pieces; other columns pass through, and an output replaces an
-input column of its name; an empty table gives an empty table.
+piece becomes its UTF-8 bytes' pieces; repeated rows are encoded each; of equal ranks the leftmost
+pair merges first; a very long text or word is encoded whole; other columns pass through, and an
+output replaces an input column of its name; an empty table gives an empty table.
 """
 
 from __future__ import annotations

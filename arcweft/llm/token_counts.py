@@ -6,7 +6,9 @@ are counted.  Two kinds of vocabulary: ``.model`` (sentencepiece BPE) and ``.tik
 (byte-level ranks, cut by a pattern).
 
 Cases: a null or empty text has 0 bytes and 0 tokens; special strings in a text are ordinary
-text; repeated rows are counted each; an empty table gives an empty table.
+text; repeated rows are counted each; of equal ranks the leftmost pair merges first; a very long
+text or word is counted whole; other columns pass through, and an output replaces an input column
+of its name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
