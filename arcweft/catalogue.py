@@ -418,8 +418,7 @@ def neighborhood_filtered_rels(g):
     " JOIN lineitem b ON b.l_partkey = a.l_partkey"
 )
 def bfs_path_length_all(g):
-    found = alg.hop_distances(g, find_nodes(g, "Customer"), ["PLACED", "CONTAINS", "SUPPLIED_BY"], "outgoing", 4)
-    return found.where(F.startswith("id", F.lit("supplier:")))
+    return alg.hop_distances(g, find_nodes(g, "Customer"), ["PLACED", "CONTAINS", "SUPPLIED_BY"], "outgoing", 4, label="Supplier")
 
 
 _COST = (

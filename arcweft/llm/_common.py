@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, renew, shared_dir
+from ..session import cut, release, renew, shared_dir
 
 __all__ = ["WORD", "bounded_batches", "crc_of", "cut", "fresh", "labelled_sample", "map_texts", "release", "renew", "shared_dir", "slices", "table"]
 
@@ -41,16 +40,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffles and checkpoints that no frame refers to.
-
-    Spark removes them when the driver's garbage collector finds them, which may be long after
-    ``cut`` has made them needless; an operator of many steps asks for it between them.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the bytes of ``column`` would exceed ``limit``; no row is left out."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

@@ -14,21 +14,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import quoted
-from ..session import cut, renew
+from ..session import cut, release, renew
 from ..sources.model import GraphError, PropertyGraph, union
-from .expand import BOTH, arcs, as_ids, existing, starting, step_arcs
+from .expand import BOTH, IN, OUT, arcs, as_ids, existing, starting, step_arcs
 from .scan import Filter, matching_ids, matching_rels
 
 Ids = DataFrame | str | Iterable[str]
 PATH = "seed string, id string, nodes array<string>, rels array<string>, length int"
 
 
+#: Up to so many names are broadcast to read codes by; above it they are joined.
+FEW_NAMES = 200_000
+#: Codes are cut into 16 low bits, kept in lists, and the rest.
+LOW = 16
+
+
 def hop_distances(
-    graph: PropertyGraph, seeds: Ids, types: Iterable[str] | None = None, direction: str = BOTH, max_depth: int | None = None
+    graph: PropertyGraph,
+    seeds: Ids,
+    types: Iterable[str] | None = None,
+    direction: str = BOTH,
+    max_depth: int | None = None,
+    label: str | None = None,
 ) -> DataFrame:
-    """(seed, id, hops) of every node that can be reached, the seed itself with 0."""
-    level = cut(starting(graph, seeds).select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops")))
-    seen, hop = level, 0
+    """(seed, id, hops) of every node that can be reached, the seed itself with 0; with a ``label``, only of nodes that carry it."""
+    types = tuple(types) if types is not None else None
+    first = cut(starting(graph, seeds))
+    layers = _layers(graph, first, types, direction, max_depth)
+    if layers is not None:
+        return _layered(graph, first, layers, direction, label)
+    level, hop = first.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops")), 0
+    seen = level
     steps = step_arcs(graph, types, direction)
     while max_depth is None or hop < max_depth:
         hop += 1
@@ -37,7 +53,106 @@ def hop_distances(
         if level.isEmpty():
             break
         seen = seen.unionAll(level)
-    return seen
+    return seen if label is None else _labelled(graph, seen, label)
+
+
+def _labelled(graph: PropertyGraph, rows: DataFrame, label: str) -> DataFrame:
+    tables = [t for t in (t.labelled(label) for t in graph.nodes.values()) if t is not None]
+    if not tables:
+        return rows.limit(0)
+    return rows.join(union(t.select(F.col("id").alias("known_id")) for t in tables), F.col("id") == F.col("known_id"), "left_semi")
+
+
+def _layers(
+    graph: PropertyGraph, first: DataFrame, types: tuple[str, ...] | None, direction: str, max_depth: int | None
+) -> list[tuple[tuple[str, ...], frozenset[str]]] | None:
+    """For each hop from 0 on its types and the node tables that it ends in, if none of these can come twice; else None.
+
+    This is told by the seeds' tables and the labels that a type's ends are known to carry.
+    """
+    if direction not in (OUT, IN) or not graph.whole:
+        return None
+    tables = [graph.rels[t] for t in dict.fromkeys(types or graph.types) if t in graph.rels]
+    ends = lambda labels: frozenset(n for n, t in graph.nodes.items() if not labels or labels & (t.fixed | t.maybe))
+    ways = [(t.type, ends(t.starts), ends(t.ends)) if direction == OUT else (t.type, ends(t.ends), ends(t.starts)) for t in tables]
+
+    def walk(now: frozenset[str]) -> list | None:
+        met, out = now, [((), now)]
+        while max_depth is None or len(out) <= max_depth:
+            on = [w for w in ways if w[1] & now]
+            if not on:
+                break
+            now = frozenset().union(*(w[2] for w in on))
+            if now & met:
+                return None
+            met |= now
+            out.append((tuple(w[0] for w in on), now))
+        return out
+
+    if all(walk(frozenset([n])) is None for n in graph.nodes):
+        return None
+    kinds = union(t.frame.select("id", F.lit(n).alias("kind")) for n, t in graph.nodes.items())
+    kinds = kinds.join(first, F.col("id") == F.col("seed"), "left_semi").select("kind").distinct()
+    return walk(frozenset(r.kind for r in kinds.collect()))
+
+
+def _layered(graph: PropertyGraph, first: DataFrame, layers: list, direction: str, label: str | None) -> DataFrame:
+    """Distances where no level can meet an earlier one, so that none is compared with them.
+
+    Seeds are numbered, and a level is written as lists of seeds by node.  The last one, which may have far
+    more pairs than there are relationships, isn't written: each list of seeds meets a list of neighbours,
+    and what goes to a seed are lists of 16-bit codes, which are merged there and read only then.
+    """
+    carry = lambda kinds: [k for k in kinds if label is None or label in graph.nodes[k].fixed | graph.nodes[k].maybe]
+
+    def kept(rows: DataFrame, kinds: frozenset[str], hop: int) -> list[DataFrame]:
+        if not carry(kinds):
+            return []
+        rows = rows.select("seed", "id", F.lit(hop).alias("hops"))
+        sure = label is None or all(label in graph.nodes[k].fixed for k in kinds)
+        return [rows if sure else _labelled(graph, rows, label).select("seed", "id", "hops")]
+
+    numbered = cut(first.withColumn("s", F.monotonically_increasing_id()))
+    n = numbered.count()
+    names = numbered.select("s", "seed")
+    done = kept(numbered.withColumn("id", F.col("seed")), layers[0][1], 0)
+    # a list holds seeds of one partition of the numbering at most
+    level = numbered.groupBy(F.col("seed").alias("id"), F.shiftright("s", 33).alias("part")).agg(F.collect_list("s").alias("seeds"))
+    for hop, (types, kinds) in enumerate(layers[1:], 1):
+        steps = arcs(graph.edges(types), direction).select("here", "there")
+        if hop == len(layers) - 1:
+            done += kept(_last(level, steps, names, n), kinds, hop) if carry(kinds) else []
+            break
+        found = level.join(steps, F.col("id") == F.col("here")).select(F.col("there").alias("id"), "part", F.explode("seeds").alias("s"))
+        found = found.repartition("id", "part").distinct()
+        level = cut(found.groupBy("id", "part").agg(F.collect_list("s").alias("seeds")))
+        del found
+        release(graph.spark)
+        pairs = level.select("id", F.explode("seeds").alias("s")).join(F.broadcast(names) if n <= FEW_NAMES else names, "s")
+        done += kept(pairs, kinds, hop)
+    return reduce(DataFrame.unionAll, done) if done else graph.spark.createDataFrame([], "seed string, id string, hops int")
+
+
+def _last(level: DataFrame, steps: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """(seed, id) of what a level's lists of seeds reach in one step."""
+    steps = steps.join(level.select(F.col("id").alias("here")), "here", "left_semi").distinct()
+    far = cut(steps.select("there").distinct())
+    m = far.count()
+    far = cut(far.coalesce(max(1, m >> LOW)).withColumn("code", F.monotonically_increasing_id()))
+    half = 1 << (LOW - 1)
+    low = (F.col("code").bitwiseAND(F.lit((1 << LOW) - 1)) - half).cast("short")
+    coded = steps.join(F.broadcast(far) if m <= FEW_NAMES else far, "there").select("here", F.shiftright("code", LOW).alias("high"), low.alias("low"))
+    lists = cut(coded.groupBy("here", "high").agg(F.collect_list("low").alias("lows")))
+    del coded, steps
+    release(level.sparkSession)
+    met = level.join(lists, F.col("id") == F.col("here")).select(F.explode("seeds").alias("s"), "high", "lows")
+    few = n <= FEW_NAMES
+    met = met.repartition("s", "high") if few else met.repartition("s")
+    sets = met.groupBy("s", "high").agg(F.array_distinct(F.flatten(F.collect_list("lows"))).alias("lows"))
+    sets = sets.join(F.broadcast(names) if few else names.hint("merge"), "s")
+    code = F.shiftleft("high", LOW) + F.col("low").cast("long") + half
+    pairs = sets.select("seed", "high", F.explode("lows").alias("low")).select("seed", code.alias("code"))
+    return pairs.join(F.broadcast(far) if m <= FEW_NAMES else far, "code").select("seed", F.col("there").alias("id"))
 
 
 def shortest_paths(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,16 @@ def renew(df: DataFrame) -> DataFrame:
     return DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffles and checkpoints that no frame refers to.
+
+    Spark removes them when the driver's garbage collector finds them, which may be long after
+    ``cut`` has made them needless; an operator of many steps asks for it between them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, in whatever store it is."""
     old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
