@@ -207,6 +207,34 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_components_write_few_files_for_few_edges(spark, monkeypatch):
+    """Forty partitions of shuffles make no forty files a round of thirty edges."""
+    from arcweft.llm import components as module
+
+    written = []
+
+    def cut(df, real=module.cut):
+        out = real(df)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(module, "cut", cut)
+    put = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        found = {r.node: r.component for r in components(spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")).collect()}
+        assert found == dict.fromkeys(range(31), 0)
+        assert len(written) > 4 and set(written[1:]) == {1}  # the first one is of the pairs as they came
+        monkeypatch.setattr(module, "EDGES_A_TASK", 1)
+        found = {r.node: r.component for r in components(spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")).collect()}
+        assert found == dict.fromkeys(range(31), 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def brute_targets(sizes):
     """Shares by weight; what is above a bound is shared again until none is."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
